@@ -8,6 +8,9 @@ from barloom.plans.registry import ORACLES, QUERIES
 
 MODULES = (
     "q_technicals",
+    "q_cleaning",
+    "q_labels",
+    "q_context",
 )
 
 
