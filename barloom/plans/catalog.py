@@ -11,6 +11,8 @@ MODULES = (
     "q_cleaning",
     "q_labels",
     "q_context",
+    "q_splits",
+    "q_metrics",
 )
 
 
