@@ -13,6 +13,7 @@ MODULES = (
     "q_context",
     "q_splits",
     "q_metrics",
+    "q_panels",
 )
 
 
