@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import DAILY, EPS, Axis, clip, ratio
+from barloom.functions.rolling import Roll, with_rolling
 from barloom.operators.ranking import fits_window, with_ranks
 
 # Look-backs of the context features.
@@ -68,9 +69,7 @@ def macro_features(df: DataFrame, ax: Axis = DAILY, horizons: Sequence[int] = MA
     staged = df.withColumns(
         {"__md": ax.log_return(level)} | {f"macro_trend{h}": ax.log_return(level, h) for h in horizons}
     )
-    return staged.withColumns({f"macro_vol{h}": ax.full(F.stddev_samp, F.col("__md"), h) for h in horizons}).drop(
-        "__md"
-    )
+    return with_rolling(staged, ax, {f"macro_vol{h}": Roll("std", "__md", h) for h in horizons}).drop("__md")
 
 
 def hierarchical_context(df: DataFrame, sectors: DataFrame, ax: Axis = DAILY) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.ewm import Ewm, with_ewm
 from barloom.functions.expr import DAILY, EPS, Axis, clip, gain, loss, ratio
+from barloom.functions.rolling import Roll, with_rolling
 from barloom.operators.blocks import blocked, owned
 
 BARS = Axis(("ticker",), "ts")
@@ -156,8 +157,14 @@ def wide_target_table(df: DataFrame, target, tickers: Sequence, ax: Axis = DAILY
     cols["__next"] = F.log(ax.lead(c)) - F.log(c)
     staged = staged.withColumns(cols)
     names = ["ret1", "ret5", "ret10", "ret20", "vol10", "vol20", "mom5", "mom20", "rsi14"]
-    wide = staged.groupBy(ax.time).pivot("ticker", list(tickers)).agg(*[F.first(n).alias(n) for n in names])
-    wide = wide.dropna("any")
+    whole = F.lit(True)
+    for n in names:
+        whole = whole & _c(n).isNotNull()
+    staged = staged.withColumn("__whole", whole).filter(_c("ticker").isin(list(tickers)))
+    cells = [F.max(F.when(_c("ticker") == t, _c(n))).alias(f"{t}_{n}") for t in tickers for n in names]
+    # A date is complete when every ticker is: one number instead of a test per column.
+    wide = staged.groupBy(ax.time).agg(F.count_if("__whole").alias("__n"), *cells)
+    wide = wide.filter(_c("__n") == len(tickers)).drop("__n")
     label = staged.filter(_c("ticker") == target).select(ax.time, (_c("__next") > 0).cast("int").alias("y"))
     return wide.join(label.withColumn("y", F.coalesce("y", F.lit(0))), ax.time)
 
@@ -195,8 +202,9 @@ def direction_set(df: DataFrame, min_len: int = 100, ax: Axis = DAILY) -> DataFr
     cols = {f"ret{k}": ax.log_return(c, k) for k in (1, 2, 3, 5, 10, 20)}
     cols |= {f"vol{k}": ax.full(F.stddev_samp, _c("__r"), k) for k in (5, 10, 20, 60)}
     cols |= {f"mom{k}": ratio(c, ax.lag(c, k)) - 1 for k in (5, 10, 20, 60)}
-    cols["dist52h"] = ratio(c, ax.full(F.max, c, 252)) - 1
-    cols["dist52l"] = ratio(c, ax.full(F.min, c, 252)) - 1
+    staged = with_rolling(staged, ax, {"__hi": Roll("max", "close", 252), "__lo": Roll("min", "close", 252)})
+    cols["dist52h"] = ratio(c, _c("__hi")) - 1
+    cols["dist52l"] = ratio(c, _c("__lo")) - 1
     # The last row has no next return and counts as "not up".
     cols["y"] = F.coalesce((ax.lead(c) > c).cast("int"), F.lit(0))
     staged = staged.withColumns(cols).join(ids, "ticker").withColumn("ticker_id", _c("__id").cast("double"))

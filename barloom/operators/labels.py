@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import DAILY, TRADING_DAYS, Axis, cut, ratio
+from barloom.functions.rolling import Roll, with_rolling
 from barloom.operators.ranking import fits_window, quantiles, with_ranks
 
 
@@ -113,10 +114,14 @@ def forward_volatility(r1: Column, horizon: int, ax: Axis = DAILY, single: bool
 def volatility_targets(df: DataFrame, horizons: Sequence[int], ax: Axis = DAILY, returns: bool = False) -> DataFrame:
     """h{k}: forward volatility, and r{k}: forward log return when asked."""
     staged = df.withColumn("__r1", ax.log_return(F.col("close")))
-    cols = {f"h{h}": forward_volatility(F.col("__r1"), h, ax, single=True) for h in horizons}
+    # The deviation of the next h returns is the trailing one, h rows later.
+    long = [h for h in horizons if h > 1]
+    staged = with_rolling(staged, ax, {f"__v{h}": Roll("std", "__r1", h) for h in long})
+    cols = {f"h{h}": ax.lead(F.col(f"__v{h}"), h) for h in long}
+    cols |= {f"h{h}": F.abs(ax.lead(F.col("__r1"), 1)) for h in horizons if h <= 1}
     if returns:
         cols |= {f"r{h}": forward_return(h, ax) for h in horizons}
-    return staged.withColumns(cols).drop("__r1")
+    return staged.withColumns(cols).drop("__r1", *[f"__v{h}" for h in long])
 
 
 def rank_split(rank: Column, label_pct: float) -> Column:
