@@ -14,6 +14,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Window stages cost far more CPU than bytes: keep small shuffles on all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
 }
 
 
