@@ -14,6 +14,7 @@ MODULES = (
     "q_splits",
     "q_metrics",
     "q_panels",
+    "q_sources",
 )
 
 
