@@ -1,13 +1,234 @@
-"""Model surface on Spark ML, blending, baselines."""
+"""Model surface on Spark ML: fitting, stacking, blending, drivers, baselines.
+
+Loops here run over folds, seeds or grid values (dozens at most); each step is
+a distributed fit.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from typing import Any
 
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import (
+    GBTClassifier,
+    LogisticRegression,
+    MultilayerPerceptronClassifier,
+    NaiveBayes,
+    OneVsRest,
+    RandomForestClassifier,
+)
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators import metrics as M
+from barloom.operators.cleaning import fit_scaler, standardize
+from barloom.operators.infotheory import mutual_information, names, top_by_information
 from barloom.operators.metrics import roc_auc
+from barloom.operators.splits import positional_split, with_roles
+
+VEC = "features_vec"
+
+
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(features), outputCol=VEC).transform(df)
+
+
+def probability(scored: DataFrame, out: str = "p") -> DataFrame:
+    """Probability of class 1 as a plain column."""
+    return scored.withColumn(out, vector_to_array(F.col("probability"))[1])
+
+
+# ---- linear -------------------------------------------------------------------
+
+
+def elastic_net(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, l1_ratio: float = 0.0) -> Model:
+    """Minimise |y - Xw|^2 / 2n + alpha (l1_ratio |w|_1 + (1 - l1_ratio) |w|^2 / 2).
+
+    Spark scales the squared penalty by the label's deviation; the settings undo that.
+    """
+    l1, l2 = alpha * l1_ratio, alpha * (1.0 - l1_ratio)
+    spread = df.agg(F.stddev_pop(y)).first()[0] or 1.0
+    reg = l1 + l2 * spread
+    est = LinearRegression(
+        featuresCol=VEC, labelCol=y, regParam=reg, elasticNetParam=(l1 / reg if reg else 0.0),
+        standardization=False, maxIter=500, tol=1e-10,
+    )
+    return est.fit(assembled(df, features))
+
+
+def ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) -> Model:
+    """Minimise |y - Xw|^2 + alpha |w|^2 with a free intercept."""
+    n, spread = df.agg(F.count(F.lit(1)), F.stddev_pop(y)).first()
+    est = LinearRegression(
+        featuresCol=VEC, labelCol=y, regParam=alpha / n * (spread or 1.0), elasticNetParam=0.0,
+        standardization=False, solver="normal",
+    )
+    return est.fit(assembled(df, features))
+
+
+def rolling_ridge(
+    df: DataFrame, features: Sequence[str], y: str, refits: Sequence[str], years: int = 3, alpha: float = 1.0,
+    time: str = "date",
+) -> DataFrame:
+    """Predictions between consecutive refit dates, each from the last ``years`` years."""
+    parts = []
+    for start, end in zip(refits, [*refits[1:], None]):
+        day = F.lit(start).cast("date")
+        window = df.filter((F.col(time) < day) & (F.col(time) >= F.add_months(day, -12 * years)))
+        ahead = df.filter(F.col(time) >= day)
+        if end:
+            ahead = ahead.filter(F.col(time) < F.lit(end).cast("date"))
+        parts.append(ridge(window, features, y, alpha).transform(assembled(ahead, features)).drop(VEC))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def logistic(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, weight: str | None = None) -> Model:
+    """Logistic regression with C = 1 / alpha."""
+    n = df.count()
+    est = LogisticRegression(
+        featuresCol=VEC, labelCol=y, regParam=max(alpha, 1e-8) / n, elasticNetParam=0.0, standardization=False,
+        maxIter=500, tol=1e-10,
+    )
+    return (est.setWeightCol(weight) if weight else est).fit(assembled(df, features))
+
+
+def balanced_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
+    """n / (classes * rows of the class)."""
+    counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("__c"))
+    total = counts.agg(F.struct(F.sum("__c").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
+    table = counts.withColumn("__t", total).select(y, (F.col("__t.n") / (F.col("__t.k") * F.col("__c"))).alias(out))
+    return df.join(table, y)
+
+
+def coefficients(model: Model, features: Sequence[str], df: DataFrame) -> DataFrame:
+    """feature, value: signed for regressions, mean size over classes for classifiers."""
+    if hasattr(model, "coefficientMatrix"):
+        m = abs(model.coefficientMatrix.toArray()).mean(axis=0)
+    elif hasattr(model, "coefficients"):
+        m = model.coefficients.toArray()
+    else:
+        m = model.featureImportances.toArray()
+    rows = [(f, float(v)) for f, v in zip(features, m)]
+    return df.sparkSession.createDataFrame(rows, "feature string, value double")
+
+
+def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
+    return importance.orderBy(F.desc("value"), "feature").limit(k)
+
+
+# ---- naive Bayes ------------------------------------------------------------------
+
+
+def bayes_table(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
+    """One row per class: prior, and mean and variance (+1e-9) of every feature."""
+    stats = df.groupBy(y).agg(
+        F.count(F.lit(1)).alias("__n"),
+        *[F.avg(f).alias(f"{f}_mean") for f in features],
+        *[(F.var_pop(f) + 1e-9).alias(f"{f}_var") for f in features],
+    )
+    return stats.withColumn("prior", F.col("__n") / stats.agg(F.sum("__n")).scalar()).drop("__n")
+
+
+def bayes_probability(df: DataFrame, table: DataFrame, features: Sequence[str], y: str, out: str = "p") -> DataFrame:
+    """Gaussian naive Bayes probability of class 1 (two classes), as column arithmetic."""
+    whole = table.agg(F.map_from_entries(F.collect_list(F.struct(F.col(y), F.struct(*table.columns))))).scalar()
+    staged = df.withColumn("__t", whole)
+
+    def score(k: int):
+        s = F.col("__t")[k]
+        out = F.log(s["prior"])
+        for f in features:
+            v = s[f"{f}_var"]
+            gap = F.col(f) - s[f"{f}_mean"]
+            out = out - 0.5 * (F.log(2 * math.pi * v) + gap * gap / v)
+        return out
+
+    return staged.withColumn(out, 1 / (1 + F.exp(score(0) - score(1)))).drop("__t")
+
+
+# ---- factory ----------------------------------------------------------------------
+
+
+def boosted(task: str, label: str, validation: str | None = None, **params: Any) -> Estimator:
+    """Gradient boosted trees; ``validation`` names a boolean column for early stopping."""
+    common = dict(
+        featuresCol=VEC, labelCol=label, maxIter=int(params.get("num_iterations", 50)),
+        stepSize=float(params.get("learning_rate", 0.05)), maxDepth=int(params.get("max_depth", 5)),
+        subsamplingRate=float(params.get("bagging_fraction", 0.85)),
+        featureSubsetStrategy=str(params.get("feature_fraction", "auto")),
+        minInstancesPerNode=int(params.get("min_data_in_leaf", 20)), seed=42,
+    )
+    est = GBTClassifier(**common) if task == "classification" else GBTRegressor(**common)
+    return est.setValidationIndicatorCol(validation) if validation else est
+
+
+def build_model(config: Mapping[str, Any], task: str, label: str = "label") -> Estimator:
+    """Estimator of a family: linear, online_linear, gbm, random_forest, naive_bayes, mlp."""
+    family, params = config["family"], dict(config.get("params", {}))
+    if family in ("linear", "online_linear"):
+        alpha = float(params.get("alpha", 1.0))
+        if task == "classification":
+            return LogisticRegression(featuresCol=VEC, labelCol=label, regParam=alpha * 1e-3, standardization=False)
+        ratio = float(params.get("l1_ratio", 0.0))
+        return LinearRegression(featuresCol=VEC, labelCol=label, regParam=alpha, elasticNetParam=ratio, standardization=False)
+    if family == "gbm":
+        classes = int(params.pop("classes", 2))
+        est = boosted(task, label, **params)
+        return OneVsRest(classifier=est, labelCol=label, featuresCol=VEC) if classes > 2 else est
+    if family == "random_forest":
+        return RandomForestClassifier(
+            featuresCol=VEC, labelCol=label, numTrees=int(params.get("trees", 400)), maxDepth=6,
+            minInstancesPerNode=20, seed=42, weightCol=params.get("weight"),
+        )
+    if family == "naive_bayes":
+        return NaiveBayes(featuresCol=VEC, labelCol=label, modelType="gaussian")
+    if family == "mlp":
+        return MultilayerPerceptronClassifier(featuresCol=VEC, labelCol=label, layers=params["layers"], seed=42, maxIter=100)
+    raise ValueError(f"unknown model family: {family}")
+
+
+def save_checkpoint(features: Sequence[str], model: Model, path: str) -> None:
+    """Assembler and model as one pipeline on disk."""
+    stages = [VectorAssembler(inputCols=list(features), outputCol=VEC), model]
+    PipelineModel(stages).write().overwrite().save(path)
+
+
+def load_checkpoint(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+# ---- stacking and blending ------------------------------------------------------
+
+
+def stacked(train: DataFrame, test: DataFrame, features: Sequence[str], y: str, time: str = "date") -> DataFrame:
+    """Logistic, naive Bayes and perceptron branches under a logistic meta model.
+
+    The meta model learns on the later half of the training dates, which the
+    branches have not seen; then the branches are refitted on all of them.
+    """
+    halves = positional_split(train, 0.5, time=time)
+    early, late = halves.filter("first_part"), halves.filter(~F.col("first_part"))
+    layers = [len(features), 8, 2]
+    families = {"lr": ("linear", {}), "nb": ("naive_bayes", {}), "mlp": ("mlp", {"layers": layers})}
+
+    def branches(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
+        scaler = fit_scaler(fit_on, features)
+        a, out = assembled(standardize(fit_on, scaler, features), features), apply_to
+        out = assembled(standardize(out, scaler, features), features)
+        for name, (family, params) in families.items():
+            model = build_model({"family": family, "params": params}, "classification", y).fit(a)
+            out = probability(model.transform(out), f"p_{name}").drop("rawPrediction", "probability", "prediction")
+        return out.drop(VEC)
+
+    cols = [f"p_{n}" for n in families]
+    meta = logistic(branches(early, late), cols, y, 1.0)
+    return probability(meta.transform(assembled(branches(train, test), cols))).drop(VEC, "rawPrediction", "probability")
 
 
 def fit_blend(df: DataFrame, y: str, p1: str, p2: str, steps: int = 20) -> DataFrame:
@@ -25,6 +246,58 @@ def fit_blend(df: DataFrame, y: str, p1: str, p2: str, steps: int = 20) -> DataF
     return scores.agg(best).select((F.col("b.i") / float(steps)).alias("a"), F.col("b.auc").alias("auc"))
 
 
+def nearest_branch(windows: Sequence[int], horizon: int) -> int:
+    """Index of the horizon, or of the closest one."""
+    return min(range(len(windows)), key=lambda i: abs(windows[i] - horizon))
+
+
+# ---- drivers ---------------------------------------------------------------------
+
+
+def train_walk_forward(
+    df: DataFrame, features: Sequence[str], y: str, roles: DataFrame, config: Mapping[str, Any], task: str,
+    time: str = "date",
+) -> DataFrame:
+    """One fit per fold; a row per fold with row counts and the report of the task."""
+    data = with_roles(df.select(time, *features, y).dropna(), roles, time).cache()
+    folds = [r[0] for r in data.select("fold").distinct().orderBy("fold").collect()]
+    tables = []
+    for fold in folds:
+        part = data.filter(F.col("fold") == fold)
+        train, test = part.filter("role = 'train'"), part.filter("role = 'test'")
+        n_train, n_test = train.count(), test.count()
+        if not n_train or not n_test:
+            continue
+        model = build_model(config, task, y).fit(assembled(train, features))
+        scored = model.transform(assembled(test, features))
+        if task == "classification":
+            report = M.classification_report(probability(scored), y, "prediction", "p")
+        else:
+            report = M.regression_report(scored, y, "prediction")
+        tables.append(
+            report.select(F.lit(fold).alias("fold"), F.lit(n_train).alias("n_train"), F.lit(n_test).alias("n_test"), "*")
+        )
+    return reduce(DataFrame.unionByName, tables)
+
+
+def transfer_evaluate(
+    source: DataFrame, target: DataFrame, features: Sequence[str], y: str, config: Mapping[str, Any], fraction: float = 0.5
+) -> DataFrame:
+    """Regression report on the target's later part: source model as is, and refitted on the earlier part."""
+    parts = positional_split(target.dropna("any", subset=[*features, y]), fraction)
+    first, tail = parts.filter("first_part"), parts.filter(~F.col("first_part"))
+    est = build_model(config, "regression", y)
+    rows = []
+    for name, fit_on in (("zero_shot", source.dropna("any", subset=[*features, y])), ("fine_tuned", first)):
+        scored = est.fit(assembled(fit_on, features)).transform(assembled(tail, features))
+        rows.append(M.regression_report(scored, y, "prediction").select(F.lit(name).alias("mode"), "*"))
+    return rows[0].unionByName(rows[1])
+
+
+def common_columns(a: DataFrame, b: DataFrame, drop: Sequence[str] = ()) -> list[str]:
+    return [c for c in a.columns if c in b.columns and c not in drop]
+
+
 def persistence_baseline(
     df: DataFrame, y: str, columns: Sequence[str], roles: DataFrame, ref: str = "vol252", time: str = "date"
 ) -> DataFrame:
@@ -33,3 +306,69 @@ def persistence_baseline(
         ref = next(c for c in columns if c.startswith("vol"))
     test = df.join(roles.filter("role = 'test'"), time, "left_semi")
     return roc_auc(test, y, ref).select(F.lit(ref).alias("feature"), "auc")
+
+
+def signal_probe(df: DataFrame, features: Sequence[str], y: str, roles: DataFrame, time: str = "date") -> DataFrame:
+    """Holdout accuracy of a logistic fit against the trivial baseline, with input and output information."""
+    data = with_roles(df, roles, time)
+    train, test = data.filter("role = 'train'"), data.filter("role = 'test'")
+    scaler = fit_scaler(train, features)
+    model = logistic(standardize(train, scaler, features), features, y, 1e-6)
+    scored = probability(model.transform(assembled(standardize(test, scaler, features), features)))
+    one = scored.agg(
+        F.avg(((F.col("p") >= 0.5) == (F.col(y) == 1)).cast("double")).alias("accuracy"),
+        M.majority_baseline(F.col(y)).alias("baseline"),
+    )
+    best = mutual_information(scored, features, y).agg(F.max("mi")).scalar()
+    output = mutual_information(scored, ["p"], y).select("mi").scalar()
+    return one.select("accuracy", "baseline", (F.col("accuracy") - F.col("baseline")).alias("gain"), best.alias("best_input_mi"), output.alias("output_mi"))
+
+
+def recent_importance(df: DataFrame, features: Sequence[str], y: str, k: int, recent: DataFrame, least: int = 500):
+    """Top-k by boosted-tree importance on recent dates; by information when there are few rows."""
+    part = df.join(recent, "date", "left_semi")
+    if part.count() <= least:
+        return top_by_information(df, features, y, k).select("feature", F.col("mi").alias("value"))
+    model = boosted("classification", y, num_iterations=20).fit(assembled(part, features))
+    return top_features(coefficients(model, features, df), k)
+
+
+def lasso_overlap(df: DataFrame, features: Sequence[str], y: str, lam: float = 5000.0, k: int = 6) -> DataFrame:
+    """feature, ridge and lasso coefficients, and whether each selection keeps it."""
+    n = df.count()
+    z = standardize(df, fit_scaler(df, features), features)
+    r = coefficients(elastic_net(z, features, y, lam / n, 0.0), features, df).withColumnRenamed("value", "ridge")
+    s = coefficients(elastic_net(z, features, y, lam / n, 1.0), features, df).withColumnRenamed("value", "lasso")
+    top_l1 = names(top_features(s.select("feature", F.abs("lasso").alias("value")), k))
+    top_mi = names(top_by_information(df, features, y, k))
+    f = F.col("feature")
+    return r.join(s, "feature").withColumns({"in_lasso": f.isin(top_l1), "in_mi": f.isin(top_mi)})
+
+
+def bias_variance(
+    train: DataFrame, test: DataFrame, features: Sequence[str], y: str, keys: Sequence[str], rounds: int = 20, seed: int = 0
+) -> DataFrame:
+    """Variance, squared bias, noise and total squared error over bootstrap fits."""
+    scaler = fit_scaler(train, features)
+    a = assembled(standardize(train, scaler, features), features).select(y, VEC).cache()
+    b = assembled(standardize(test, scaler, features), features).select(*keys, y, VEC).cache()
+    parts = []
+    for i in range(rounds):
+        est = LogisticRegression(featuresCol=VEC, labelCol=y, maxIter=50, standardization=False)
+        model = est.fit(a.sample(True, 1.0, seed + i))
+        parts.append(probability(model.transform(b)).select(*keys, F.col(y).cast("double").alias("y"), "p"))
+    runs = reduce(DataFrame.unionByName, parts)
+    rows = runs.groupBy(*keys, "y").agg(
+        F.avg("p").alias("m"), F.var_pop("p").alias("v"), F.avg((F.col("p") - F.col("y")) ** 2).alias("t")
+    )
+    noise = F.avg("y") * (1 - F.avg("y"))
+    return rows.agg(
+        F.avg("v").alias("variance"),
+        F.greatest(F.avg((F.col("m") - F.col("y")) ** 2) - noise, F.lit(0.0)).alias("bias2"),
+        noise.alias("noise"),
+        F.avg("t").alias("total"),
+    )
+
+
+def pipeline(features: Sequence[str], estimator: Estimator) -> Pipeline:
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol=VEC), estimator])

@@ -134,14 +134,14 @@ def _window_rank(by: list[str], x: Column, pct: bool) -> Column:
 
 
 def with_ordinal(df: DataFrame, by: Sequence[str], x: str, ties: Sequence[str], out: str) -> DataFrame:
-    """Add a unique 1-based rank: by x, then by the ``ties`` columns.
+    """Add a unique 1-based rank: by x, then by the ``ties`` columns.  NULL rows go.
 
     Rows are sorted per (group, bucket of x); a bucket is bounded only as far as
-    equal x values are, so heavy ties are split further by a hash-free second
-    level: the tie columns' own buckets when numeric.
+    equal x values are, so heavy ties are split further by a second level, ranges
+    of the first tie column when it is numeric or a date.
     """
     by = list(by)
-    split = [F.col(x)]
+    df = df.filter(F.col(x).isNotNull())
     numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("integer", "long", "double", "date", "short")}
     lead = ties[0] if ties else None
     tie_value = None
@@ -149,7 +149,7 @@ def with_ordinal(df: DataFrame, by: Sequence[str], x: str, ties: Sequence[str],
         c = F.col(lead)
         is_date = dict(df.dtypes)[lead] == "date"
         tie_value = F.unix_date(c).cast("double") if is_date else c.cast("double")
-    staged = df.withColumn("__bucket", order_bucket(split[0].cast("double")))
+    staged = df.withColumn("__bucket", order_bucket(F.col(x).cast("double")))
     # Second level: 64 consecutive days or keys together, only used inside equal x.
     second = F.floor(tie_value / 64).cast("long") if tie_value is not None else F.lit(0).cast("long")
     staged = staged.withColumn("__x", F.col(x)).withColumn("__second", second)
@@ -165,7 +165,7 @@ def with_ordinal(df: DataFrame, by: Sequence[str], x: str, ties: Sequence[str],
     offsets = counts.withColumn("__i0", F.coalesce(F.sum("__n").over(in_bucket), F.lit(0))).join(base, keys)
     offsets = offsets.select(*inner, (F.col("__b0") + F.col("__i0")).alias("__before"))
     order = Window.partitionBy(*inner).orderBy(*ties) if ties else Window.partitionBy(*inner).orderBy(F.lit(1))
-    ranked = staged.filter(F.col(x).isNotNull()).join(offsets, inner)
+    ranked = staged.join(offsets, inner)
     return ranked.withColumn(out, F.col("__before") + F.row_number().over(order)).drop(
         "__bucket", "__x", "__second", "__before"
     )

@@ -15,6 +15,7 @@ MODULES = (
     "q_metrics",
     "q_panels",
     "q_sources",
+    "q_models",
 )
 
 

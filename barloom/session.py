@@ -16,9 +16,18 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Window stages cost far more CPU than bytes: keep small shuffles on all cores.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
+    # Wide feature projections make the optimizer's inferred not-null constraints
+    # grow exponentially; every filter these jobs need is written out.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
+def apply_runtime_conf(spark: SparkSession) -> SparkSession:
+    for key, value in RUNTIME_CONF.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: str = "*", partitions: int = 8, app: str = "barloom") -> SparkSession:
     """A session for tests and single-host benches."""
     builder = (
@@ -27,6 +36,8 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "barloom") -
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Feature stages compile many small projections; keep them all cached.
+        .config("spark.sql.codegen.cache.maxEntries", "4000")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
