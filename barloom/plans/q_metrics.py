@@ -13,6 +13,7 @@ from barloom.operators import metrics as M
 from barloom.operators import splits as S
 from barloom.operators.ranking import with_ordinal
 from barloom.plans.registry import query, rounded
+from barloom.session import materialize
 from barloom.plans.sqltext import DAILY, WIDE, ahead, full, lag, lead, rank_pct
 from barloom.sources.datasets import daily_panel, supplier_bound, table, wide_panel
 
@@ -214,7 +215,8 @@ def long_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.join(dates.select("date", role.alias("role")), "date")
     parts = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"f{h}").alias("y")) for h in HS])
     long = df.select(*KEY, "p0", "bucket", "role", F.explode(parts).alias("h"))
-    return long.select(*KEY, "p0", "bucket", "role", "h.horizon", "h.y").filter("y is not null")
+    # Training, calibration and test rows are read separately below.
+    return materialize(long.select(*KEY, "p0", "bucket", "role", "h.horizon", "h.y").filter("y is not null"), "outcomes")
 
 
 def test_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,8 +168,7 @@ _SCORE = f"""{_LEX}, tk AS (SELECT doc_id, unnest(regexp_split_to_array(lower(ti
 def news_scores(spark, sf_dir):
     lexicon = spark.createDataFrame(list(LEXICON), "word string, valence double")
     flat = N.flatten_news(news_json(spark, sf_dir), "payload", ("doc_id", "ticker"))
-    scores = N.lexicon_scores(flat, "title", lexicon, ("doc_id",))
-    return flat.select("doc_id", "ticker", "date").join(scores, "doc_id")
+    return N.lexicon_scores(flat, "title", lexicon, ("doc_id", "ticker", "date"))
 
 
 @query("s12_lexicon_scores", f"WITH {_NEWS}, {_SCORE} SELECT doc_id, round(score, 6) AS score FROM so")

@@ -1 +1 @@
-"""Structured Streaming forms of the bar, sentiment and ledger operators."""
+"""Reserved: every operator of this package is batch, and so is what it re-expresses."""
