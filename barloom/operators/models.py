@@ -189,7 +189,10 @@ def build_model(config: Mapping[str, Any], task: str, label: str = "label") -> E
     if family == "naive_bayes":
         return NaiveBayes(featuresCol=VEC, labelCol=label, modelType="gaussian")
     if family == "mlp":
-        return MultilayerPerceptronClassifier(featuresCol=VEC, labelCol=label, layers=params["layers"], seed=42, maxIter=100)
+        return MultilayerPerceptronClassifier(
+            featuresCol=VEC, labelCol=label, layers=params["layers"], seed=42,
+            maxIter=int(params.get("epochs", 100)),
+        )
     raise ValueError(f"unknown model family: {family}")
 
 
@@ -206,7 +209,9 @@ def load_checkpoint(path: str) -> PipelineModel:
 # ---- stacking and blending ------------------------------------------------------
 
 
-def stacked(train: DataFrame, test: DataFrame, features: Sequence[str], y: str, time: str = "date") -> DataFrame:
+def stacked(
+    train: DataFrame, test: DataFrame, features: Sequence[str], y: str, time: str = "date", epochs: int = 100
+) -> DataFrame:
     """Logistic, naive Bayes and perceptron branches under a logistic meta model.
 
     The meta model learns on the later half of the training dates, which the
@@ -215,7 +220,7 @@ def stacked(train: DataFrame, test: DataFrame, features: Sequence[str], y: str,
     halves = positional_split(train, 0.5, time=time)
     early, late = halves.filter("first_part"), halves.filter(~F.col("first_part"))
     layers = [len(features), 8, 2]
-    families = {"lr": ("linear", {}), "nb": ("naive_bayes", {}), "mlp": ("mlp", {"layers": layers})}
+    families = {"lr": ("linear", {}), "nb": ("naive_bayes", {}), "mlp": ("mlp", {"layers": layers, "epochs": epochs})}
 
     def branches(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
         scaler = fit_scaler(fit_on, features)

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import materialize
+
 # Rows one window partition may hold before the bucketed path is taken.
 WINDOW_LIMIT = 1_000_000
 
@@ -116,11 +118,20 @@ def with_ranks(
     by = list(by)
     if fits_window(df, by, group_bound):
         return df.withColumns({out: _window_rank(by, F.col(x), pct) for out, x in columns.items()})
-    for out, x in columns.items():
-        rank = average_rank() / F.col("total") if pct else average_rank()
-        ranks = value_ranks(df, by, x).select(*by, x, rank.alias(out))
-        df = df.join(ranks, [*by, x], "left")
-    return df
+    # The input feeds the counts and the join back: compute it once, as a table.
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    rank = average_rank() / F.col("total") if pct else average_rank()
+    if len(columns) == 1:
+        [(out, x)] = columns.items()
+        ranks = value_ranks(rows, by, x).select(*by, x, rank.alias(out))
+        return rows.join(ranks, [*by, x], "left").drop("__row")
+    # All columns in one long pass: one ranking, one join, one aggregate back to rows.
+    cells = F.array(*[F.struct(F.lit(out).alias("__f"), F.col(x).cast("double").alias("__x")) for out, x in columns.items()])
+    long = rows.select("__row", *by, F.explode(cells).alias("c")).select("__row", *by, "c.*").filter("__x is not null")
+    ranks = value_ranks(long, [*by, "__f"], "__x").select(*by, "__f", "__x", rank.alias("__k"))
+    ranked = long.join(ranks, [*by, "__f", "__x"])
+    wide = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("__f") == out, F.col("__k"))).alias(out) for out in columns])
+    return rows.join(wide, "__row", "left").drop("__row")
 
 
 def _window_rank(by: list[str], x: Column, pct: bool) -> Column:

@@ -19,6 +19,7 @@ from barloom.operators.context import (
 from barloom.operators.extended import EXTENDED, extended_features
 from barloom.operators.ranking import with_ranks
 from barloom.operators.technicals import MODULAR, modular_features
+from barloom.session import materialize
 from barloom.sources.store import FeatureStore
 
 
@@ -43,7 +44,7 @@ def raw_features(
 
 
 def feature_matrix(
-    bars: DataFrame,
+    bars: DataFrame | None,
     horizon: int = 1,
     target: str = "return",
     top: float = 0.2,
@@ -55,13 +56,16 @@ def feature_matrix(
     min_history: int = 300,
     group_bound: int | None = None,
     ax: Axis = DAILY,
+    raw: tuple[DataFrame, list[str], list[str]] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """(ticker, date, label, features in (0, 1]) and the feature names.
 
+    ``raw`` takes the result of ``raw_features`` when several horizons share it.
+
     Incomplete rows go before ranking, so they do not count in the ranks.
     ``target``: return and vol give top/bottom labels, quantile the forward return.
     """
-    df, ranked, macro = raw_features(bars, sectors, extended, min_history, ax)
+    df, ranked, macro = raw or raw_features(bars, sectors, extended, min_history, ax)
     if sentiment is not None:
         df = df.join(sentiment.select(*ax.keys, ax.time, F.col("score").alias("sent")), [*ax.keys, ax.time], "left")
         df = df.withColumn("sent", F.coalesce("sent", F.lit(0.0)))
@@ -90,8 +94,14 @@ def feature_matrix(
 def build_store(
     bars: DataFrame, horizons: Sequence[int], store: FeatureStore, group_bound: int | None = None
 ) -> FeatureStore:
-    """One batch per horizon; every horizon prunes to its own folder."""
+    """One batch per horizon; every horizon prunes to its own folder.
+
+    The indicators are computed once into a table; each horizon only adds its
+    label, drops incomplete rows and ranks.
+    """
+    df, ranked, macro = raw_features(bars)
+    table = materialize(df.select("ticker", "date", "close", *ranked, *macro), "features")
     for h in horizons:
-        df, names = feature_matrix(bars, horizon=h, group_bound=group_bound)
-        store.upsert(df, names, "label", h)
+        matrix, names = feature_matrix(None, horizon=h, group_bound=group_bound, raw=(table, ranked, macro))
+        store.upsert(matrix, names, "label", h)
     return store

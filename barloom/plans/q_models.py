@@ -133,7 +133,7 @@ def m09(spark, sf_dir):
 def m10(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     scaler = Z.fit_scaler(train, FEW)
-    est = Z.build_model({"family": "mlp", "params": {"layers": [len(FEW), 8, 2]}}, "classification", "up")
+    est = Z.build_model({"family": "mlp", "params": {"layers": [len(FEW), 8, 2], "epochs": 30}}, "classification", "up")
     model = est.fit(Z.assembled(Z.standardize(train, scaler, FEW), FEW))
     out = Z.probability(model.transform(Z.assembled(Z.standardize(test, scaler, FEW), FEW)))
     return out.select(*KEY, F.round("p", 6).alias("p"))
@@ -154,7 +154,7 @@ def i08(spark, sf_dir):
 @query("m12_stacking")
 def m12(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    out = Z.stacked(train.cache(), test, FEW, "up")
+    out = Z.stacked(train.cache(), test, FEW, "up", epochs=30)
     return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("p_lr", "p_nb", "p_mlp", "p")])
 
 

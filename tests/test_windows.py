@@ -78,6 +78,12 @@ def test_rank_both_paths(ties, bound):
     got = ranking.with_ranks(ties, ["g"], {"p": "x"}, group_bound=bound).toPandas().sort_values(["g", "i"])
     want = got.groupby("g").x.rank(pct=True)
     np.testing.assert_allclose(got.p.to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
+    two = ties.withColumn("z", -F.col("x") * F.col("i"))
+    got = ranking.with_ranks(two, ["g"], {"p": "x", "q": "z"}, group_bound=bound).toPandas().sort_values(["g", "i"])
+    assert len(got) == 401
+    for out, x in (("p", "x"), ("q", "z")):
+        want = got.groupby("g")[x].rank(pct=True)
+        np.testing.assert_allclose(got[out].to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
 
 
 def test_quantiles_and_kth(ties):
