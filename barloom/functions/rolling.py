@@ -16,8 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from barloom.functions.expr import Axis
 
@@ -61,25 +60,24 @@ def _cover(n: int) -> list[tuple[int, int]]:
     return [(level, k) for k in range(0, n - size, size)] + [(level, n - size)]
 
 
-def _extreme(kind: str, parts: list[Column]) -> Column:
-    whole = parts[0].isNotNull()
-    for p in parts[1:]:
-        whole = whole & p.isNotNull()
+def _extreme(kind: str, parts: list[str]) -> str:
     if len(parts) == 1:
         return parts[0]
-    return F.when(whole, F.greatest(*parts) if kind == "max" else F.least(*parts))
+    whole = " AND ".join(f"{p} IS NOT NULL" for p in parts)
+    return f"CASE WHEN {whole} THEN {'greatest' if kind == 'max' else 'least'}({', '.join(parts)}) END"
 
 
-def _total(parts: Iterable[Column]) -> Column:
-    out = None
-    for p in parts:
-        out = p if out is None else out + p
-    return out
+def _total(parts: Iterable[str]) -> str:
+    return "(" + " + ".join(parts) + ")"
 
 
 def with_rolling(df: DataFrame, ax: Axis, specs: dict[str, Roll]) -> DataFrame:
-    """Add one column per spec."""
-    keep = df.columns
+    """Add one column per spec.
+
+    Expressions are SQL text, one call per step: a wide feature set would
+    otherwise spend seconds building columns one by one.
+    """
+    keep = [c for c in df.columns if c not in specs]
     top: dict[tuple[str, str], int] = defaultdict(int)
     spread: set[str] = set()  # sources that need squared deviations
     for s in specs.values():
@@ -87,70 +85,68 @@ def with_rolling(df: DataFrame, ax: Axis, specs: dict[str, Roll]) -> DataFrame:
         if s.kind.startswith("std"):
             spread.add(s.source)
     ids = {key: i for i, key in enumerate(top)}
+    keys = ", ".join(f"`{k}`" for k in ax.keys)
+    over = f"OVER ({'PARTITION BY ' + keys if keys else ''} ORDER BY `{ax.time}`)"
 
     def name(key: tuple[str, str], level: int, part: str = "m") -> str:
         return f"__r{ids[key]}_{level}{part}"
 
+    def add(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
+        return frame.selectExpr("*", *[f"{text} AS `{new}`" for new, text in columns.items()]) if columns else frame
+
+    def lagged(frame: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
+        return add(frame, {new: f"lag({old}, {k}) {over}" if k else old for new, (old, k) in columns.items()})
+
+    deviates = {key for key in top if key[0] == "dev" and key[1] in spread}
     start = {}
     for key in top:
-        x = F.col(key[1]).cast("double")
+        x = f"CAST(`{key[1]}` AS DOUBLE)"
         start[name(key, 0)] = x
-        if key[0] == "dev" and key[1] in spread:
-            start[name(key, 0, "q")] = F.when(x.isNotNull(), 0.0)
-    staged = df.withColumns(start)
-
-    def lagged(columns: dict[str, tuple[str, int]]) -> DataFrame:
-        return staged.withColumns({new: ax.lag(F.col(old), k) if k else F.col(old) for new, (old, k) in columns.items()})
+        if key in deviates:
+            start[name(key, 0, "q")] = f"CASE WHEN {x} IS NOT NULL THEN 0D END"
+    staged = add(df, start)
 
     for level in range(1, max(top.values(), default=0) + 1):
         size = BASE ** (level - 1)
         want = [key for key, t in top.items() if t >= level]
-        parts = [p for p in ("m", "q")]
-        have = [(key, p) for key in want for p in parts if name(key, level - 1, p) in staged.columns]
-        lags = {
-            f"{name(key, level - 1, p)}_{j}": (name(key, level - 1, p), j * size) for key, p in have for j in range(BASE)
-        }
-        staged = lagged(lags)
-        new = {}
+        have = [(key, p) for key in want for p in ("m", "q") if p == "m" or key in deviates]
+        part = lambda key, p, j: f"{name(key, level - 1, p)}_{j}"  # noqa: B023, E731
+        lags = {part(key, p, j): (name(key, level - 1, p), j * size) for key, p in have for j in range(BASE)}
+        staged = lagged(staged, lags)
+        means, spreads = {}, {}
         for key in want:
-            m = [F.col(f"{name(key, level - 1)}_{j}") for j in range(BASE)]
-            new[name(key, level)] = _total(m) / float(BASE) if key[0] == "dev" else _extreme(key[0], m)
-        staged = staged.withColumns(new)
-        new = {}
-        for key, p in have:
-            if p == "q":
-                m = [F.col(f"{name(key, level - 1)}_{j}") for j in range(BASE)]
-                q = [F.col(f"{name(key, level - 1, 'q')}_{j}") for j in range(BASE)]
-                mean = F.col(name(key, level))
-                new[name(key, level, "q")] = _total(q) + float(size) * _total((x - mean) * (x - mean) for x in m)
-        staged = (staged.withColumns(new) if new else staged).drop(*lags)
-
-    lags: dict[str, tuple[str, int]] = {}
+            m = [part(key, "m", j) for j in range(BASE)]
+            mean = name(key, level)
+            means[mean] = f"{_total(m)} / {BASE}D" if key[0] == "dev" else _extreme(key[0], m)
+            if key in deviates:
+                q = [part(key, "q", j) for j in range(BASE)]
+                gaps = _total(f"({x} - {mean}) * ({x} - {mean})" for x in m)
+                spreads[name(key, level, "q")] = f"{_total(q)} + {size}D * {gaps}"
+        staged = add(add(staged, means), spreads).drop(*lags)
+
+    lags = {}
     for out, s in specs.items():
         key = (s.state, s.source)
         for j, (level, k) in enumerate(_tiles(s.n) if s.state == "dev" else _cover(s.n)):
             lags[f"__{out}_{j}m"] = (name(key, level), k)
             if s.kind.startswith("std"):
                 lags[f"__{out}_{j}q"] = (name(key, level, "q"), k)
-    staged = lagged(lags)
+    staged = lagged(staged, lags)
     means, final = {}, {}
     for out, s in specs.items():
         if s.state != "dev":
-            pieces = _cover(s.n)
-            final[out] = _extreme(s.kind, [F.col(f"__{out}_{j}m") for j in range(len(pieces))])
+            final[out] = _extreme(s.kind, [f"__{out}_{j}m" for j in range(len(_cover(s.n)))])
             continue
-        sizes = [float(BASE**level) for level, _ in _tiles(s.n)]
-        m = [F.col(f"__{out}_{j}m") for j in range(len(sizes))]
-        total = _total(w * x for w, x in zip(sizes, m))
-        means[f"__{out}_mean"] = total / float(s.n)
-        mean = F.col(f"__{out}_mean")
+        sizes = [BASE**level for level, _ in _tiles(s.n)]
+        mean = f"__{out}_mean"
+        means[mean] = _total(f"{w}D * __{out}_{j}m" for j, w in enumerate(sizes)) + f" / {s.n}D"
         if s.kind == "sum":
-            final[out] = mean * float(s.n)
+            final[out] = f"{mean} * {s.n}D"
         elif s.kind == "avg":
             final[out] = mean
         else:
-            q = _total(F.col(f"__{out}_{j}q") + w * (x - mean) * (x - mean) for j, (w, x) in enumerate(zip(sizes, m)))
-            final[out] = F.sqrt(q / float(s.n - 1 if s.kind == "std" else s.n))
-    if means:
-        staged = staged.withColumns(means)
-    return staged.withColumns(final).select(*[c for c in keep if c not in specs], *specs)
+            q = _total(
+                f"__{out}_{j}q + {w}D * (__{out}_{j}m - {mean}) * (__{out}_{j}m - {mean})" for j, w in enumerate(sizes)
+            )
+            final[out] = f"sqrt({q} / {s.n - 1 if s.kind == 'std' else s.n}D)"
+    return add(staged, means).selectExpr(*[f"`{c}`" for c in keep], *[f"{t} AS `{o}`" for o, t in final.items()])
