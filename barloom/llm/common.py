@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words are runs of characters other than these six ASCII white-space characters.
@@ -42,3 +42,8 @@ def bind(value: Column, use) -> Column:
 def partitions(df: DataFrame) -> int:
     """Partitions a shuffle of this session uses."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound what an Arrow batch of whole texts holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
