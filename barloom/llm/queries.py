@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import simhash
+from barloom.llm import bpe_count, mixing, pieces, simhash, sketch, token_store, urls
+from barloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,3 +35,82 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query("op2_document_fingerprints")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sketch.edited_likeness(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        sketch.as_text(F.col("sketch")).alias("fingerprint"),
+        sketch.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@_query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return bpe_count.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+# The rules that the query judges by (verdict, host, path).
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+_URL_SQL = """
+with parts as (
+  select page_id,
+         case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest
+  from pages
+), urls as (
+  select page_id,
+         translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from parts
+), rules(says, r_host, r_path) as (
+  values ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), judged as (
+  select host, path, arg_max(r_host || r_path, length(r_host || r_path)) as rule,
+         arg_max(says, length(r_host || r_path)) as says
+  from (select distinct host, path from urls) u, rules
+  where (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path)
+  group by host, path
+)
+select page_id, host, path, rule, coalesce(says, 'allow') as verdict
+from urls left join judged using (host, path)
+"""
+
+
+@_query("op4_url_filters", _URL_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES), default="allow")
+
+
+@_query("op5_mixing_sources")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.schedule(_table(spark, sf_dir, "documents"), mixing.cycle(3, 1, 2), share=1.5, repeats=2)
+    return plan.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
+@_query("op6_token_store")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    store = token_store.write_store(docs, scratch_path(spark, "token-store"), vocabulary, end_id=1)
+    return store.lookup(docs, "doc_id")
+
+
+@_query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
