@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe_count, html_tree, mixing, pieces, quality, simhash, sketch, token_store, urls
+from barloom.llm import bpe_count, html_tree, licences, mixing, pieces, quality, simhash, sketch, token_store, urls
 from barloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -134,3 +134,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_html_extraction")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op10_license_scans")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.array_join("licences", ",").alias("licences"),
+        "n_licences",
+        "n_unknown",
+        F.array_join("lines", ",").alias("lines"),
+    )
