@@ -35,6 +35,17 @@ def s01(spark, sf_dir):
     return out.select("ticker", "date", "open", "high", "low", "close", "volume")
 
 
+@query("s01_mixed_headers", f"WITH {DAILY} SELECT CAST(ticker AS VARCHAR) AS ticker, date, open, high, low, close, volume FROM daily")
+def s01_mixed(spark, sf_dir):
+    """Files of two layouts below one folder: each is read by its own header."""
+    root = scratch_path(spark, "mixed")
+    bars = daily_panel(spark, sf_dir).select("ticker", "date", "open", "high", "low", "close", "volume")
+    S.write_bars(bars.filter("ticker % 2 = 0"), f"{root}/even")
+    turned = bars.filter("ticker % 2 = 1").select("ticker", "volume", "close", "low", F.col("date").alias("Date"), "high", F.col("open").alias(" OPEN"))
+    S.write_bars(turned, f"{root}/odd")
+    return S.read_bars(spark, root).select("ticker", "date", "open", "high", "low", "close", "volume")
+
+
 @query("s02_list_available", f"WITH {DAILY} SELECT DISTINCT CAST(ticker AS VARCHAR) AS ticker FROM daily")
 def s02(spark, sf_dir):
     return S.list_available(spark, _csv(spark, sf_dir))

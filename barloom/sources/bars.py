@@ -14,6 +14,7 @@ from barloom.operators.cleaning import forward_fill
 # Required columns, and the file names of one ticker in order of preference.
 REQUIRED = ("open", "high", "low", "close", "volume")
 FILE_SUFFIXES = (".us.txt", ".us.csv", ".csv")
+FILE_GLOB = "*.{[cC][sS][vV],[tT][xX][tT]}"
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{csv,txt}")
+        .option("pathGlobFilter", FILE_GLOB)
         .load(root)
         .select("path")
     )
@@ -68,29 +69,66 @@ def list_available(spark: SparkSession, root: str) -> DataFrame:
     return list_files(spark, root).select("ticker").distinct().orderBy("ticker")
 
 
+def _plain(names: Column) -> Column:
+    """Header fields as plain names: trimmed, lower-case, one name for the adjusted close."""
+    lower = F.transform(names, lambda n: F.lower(F.trim(F.regexp_replace(n, '["\\uFEFF]', ""))))
+    return F.transform(lower, lambda n: F.when(n.isin("adj close", "adjclose"), "adj_close").otherwise(n))
+
+
+def _fields(line: Column) -> Column:
+    """The fields of a CSV line; commas inside quotes do not split."""
+    parts = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(parts, lambda f: F.trim(F.regexp_replace(F.regexp_replace(F.trim(f), '^"|"$', ""), '""', '"')))
+
+
 def read_bars(spark: SparkSession, root: str, universe: DataFrame | None = None) -> DataFrame:
     """All bar files as one long panel, one row per (ticker, date).
 
-    One multi-file scan; a ticker with several files uses the preferred name
-    style, and a universe is a semi-join, so unknown tickers are skipped.
+    Each file is read by its own header line, so files may order and name their columns
+    differently; a file without a required column raises.  A ticker with several files
+    uses the preferred name style, and a universe is a semi-join, so unknown tickers are
+    skipped.  The headers are one small row per file, joined to the lines.
     """
-    raw = (
-        spark.read.option("header", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{csv,txt}")
-        .csv(root)
-    )
     path = F.col("_metadata.file_path")
     order = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    staged = raw.select("*", path.alias("__path"), order.alias("__seq"))
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", FILE_GLOB)
+        .text(root)
+        .select("value", path.alias("__path"), order.alias("__seq"))
+        .filter(F.trim("value") != "")
+    )
+    # A header is a file's first line that names the date; data lines name nothing.
+    is_header = F.array_contains(_plain(_fields(F.col("value"))), "date")
+    headers = lines.filter(is_header).groupBy("__path").agg(F.min_by("value", "__seq").alias("__header"))
+    headers = headers.withColumn("__names", _plain(_fields(F.col("__header"))))
+    files = list_files(spark, root).select(F.col("path").alias("__file"))
+    faults = (
+        files.join(headers, F.regexp_replace("__file", "^file:/+", "/") == F.regexp_replace("__path", "^file:/+", "/"), "left")
+        .select("__file", F.array_except(F.array(*map(F.lit, REQUIRED)), F.coalesce("__names", F.array())).alias("lacks"))
+        .filter(F.size("lacks") > 0)
+        .first()
+    )
+    if faults:
+        raise ValueError(f"missing required columns: {faults['lacks']} in {faults['__file']}")
+    # The distinct names over all files: a handful.
+    found = headers.select(F.explode("__names").alias("n")).distinct().collect()
+    names = sorted({r["n"] for r in found} - {"ticker", ""} - set(REQUIRED) - {"date"})
+    wanted = ["date", *REQUIRED, *names]
+
     best = list_files(spark, root).groupBy("ticker").agg(F.min("preference").alias("__best"))
-    staged = staged.withColumns({"__symbol": _symbol(F.col("__path")), "__rank": _preference(F.col("__path"))})
+    staged = lines.withColumns({"__symbol": _symbol(F.col("__path")), "__rank": _preference(F.col("__path"))})
     hit = (F.col("__symbol") == F.col("ticker")) & (F.col("__rank") <= F.col("__best"))
-    if "ticker" in [c.strip().lower() for c in raw.columns]:
-        staged = staged.drop(*[c for c in raw.columns if c.strip().lower() == "ticker"])
-    staged = staged.join(best, hit, "left_semi").drop("__path", "__rank").withColumnRenamed("__symbol", "ticker")
-    named = normalize_columns(staged)
-    typed = named.withColumns({c: F.col(c).cast("double") for c in named.columns if c in (*REQUIRED, "adj_close")})
+    staged = staged.join(best, hit, "left_semi").join(headers, "__path").filter(F.col("value") != F.col("__header"))
+    staged = staged.withColumn("__f", _fields(F.col("value")))
+
+    def field(name: str) -> Column:
+        at = F.array_position("__names", name)
+        got = F.when(at > 0, F.get("__f", (at - 1).cast("int")))
+        got = F.when(got != "", got)
+        return got.try_cast("double") if name in (*REQUIRED, "adj_close") else got
+
+    typed = staged.select(F.col("__symbol").alias("ticker"), "__seq", *(field(c).alias(c) for c in wanted))
     bars = coerce_dates(typed, "__seq")
     return bars if universe is None else bars.join(universe, "ticker", "left_semi")
 

@@ -7,17 +7,29 @@ behind, and no file is read and replaced in the same job.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from barloom.operators.bands import LEDGER_KEY, as_ledger, dedupe_last
 
 KEY = ("date", "ticker", "horizon")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table's folder is there, in any file system Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _batch_id() -> str:
+    """Orders batches by the time they were begun; the tail tells writers of one moment apart."""
+    return f"t{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 class FeatureStore:
     """(date, ticker, horizon) -> feature vector and label."""
 
@@ -26,15 +38,8 @@ class FeatureStore:
         self.path = path
 
     def _raw(self) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(self.path)
-        except AnalysisException:
-            return None
-
-    def _next_batch(self) -> int:
-        raw = self._raw()
-        # batch is a partition column: the maximum comes from folder names.
-        return 1 if raw is None else int(raw.agg(F.max("batch")).first()[0]) + 1
+        """All batches; None only if nothing was ever written.  A store that cannot be read raises."""
+        return self.spark.read.parquet(self.path) if _exists(self.spark, self.path) else None
 
     def upsert(self, df: DataFrame, features: Sequence[str], label: str, horizon: int | None = None) -> None:
         """Insert or replace; ``horizon`` may be a column already."""
@@ -45,9 +50,9 @@ class FeatureStore:
             F.array(*[F.col(f).cast("double") for f in features]).alias("vec"),
             F.col(label).cast("byte").alias("label"),
             level.cast("short").alias("horizon"),
-            F.lit(self._next_batch()).alias("batch"),
+            F.lit(_batch_id()).alias("batch"),
         )
-        rows.repartition("horizon", F.year("date")).sortWithinPartitions("date").write.mode("append").partitionBy(
+        rows.repartition("horizon", F.trunc("date", "month")).sortWithinPartitions("date").write.mode("append").partitionBy(
             "horizon", "batch"
         ).parquet(self.path)
 
@@ -85,7 +90,11 @@ class FeatureStore:
         )
 
     def horizons(self) -> DataFrame:
-        return self._raw().select("horizon").distinct().orderBy("horizon")
+        """The horizons stored, ascending; none for an empty store."""
+        raw = self._raw()
+        if raw is None:
+            return self.spark.createDataFrame([], "horizon int")
+        return raw.select("horizon").distinct().orderBy("horizon")
 
 
 class LedgerTable:
@@ -96,11 +105,7 @@ class LedgerTable:
         self.path = path
 
     def append(self, rows: DataFrame) -> None:
-        try:
-            batch = int(self.spark.read.parquet(self.path).agg(F.max("batch")).first()[0]) + 1
-        except AnalysisException:
-            batch = 1
-        as_ledger(rows).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(self.path)
+        as_ledger(rows).withColumn("batch", F.lit(_batch_id())).write.mode("append").partitionBy("batch").parquet(self.path)
 
     def read(self) -> DataFrame:
         return dedupe_last(self.spark.read.parquet(self.path), "batch", LEDGER_KEY).drop("batch")

@@ -179,6 +179,16 @@ def test_read_bar_files(spark, tmp_path):
         B.normalize_columns(spark.createDataFrame([(1,)], "Close int"))
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "AAA.us.txt").write_text("Date,Open,High,Low,Close,Volume,OpenInt\n2020-01-02,1,4,0.5,2,10,0\n")
+    (tmp_path / "BBB.CSV").write_text('"Date","Close","Open",High,Low,Volume\n"2020-01-02",11.5,11,12,10.5,"7"\n')
+    got = {r.ticker: (r.open, r.high, r.low, r.close, r.volume) for r in B.read_bars(spark, str(tmp_path)).collect()}
+    assert got == {"AAA": (1, 4, 0.5, 2, 10), "BBB": (11, 12, 10.5, 11.5, 7)}
+    (tmp_path / "ccc.csv").write_text("Date,Open,High,Low,Close\n2020-01-02,1,1,1,1\n")
+    with pytest.raises(ValueError, match="volume"):
+        B.read_bars(spark, str(tmp_path))
+
+
 def test_wide_long_round_trip(spark, panel):
     wide = B.to_wide(panel, "close", ["AAA", "BBB"])
     long = B.to_long(wide, "close").dropna()

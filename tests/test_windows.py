@@ -37,6 +37,21 @@ def test_ewm_adjusted_with_gaps(spark):
     np.testing.assert_allclose(out.to_numpy(dtype=float), want.to_numpy(), rtol=1e-12, equal_nan=True)
 
 
+@pytest.mark.parametrize("adjust", [False, True])
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.6, 0.95])
+def test_ewm_over_gaps_matches_pandas(spark, share, adjust):
+    rng = np.random.default_rng(int(share * 100))
+    x = rng.normal(100, 5, 700)
+    x[rng.random(700) < share] = np.nan
+    x[:5] = x[300:560] = x[-3:] = np.nan
+    df = spark.createDataFrame([("a", i, None if np.isnan(v) else float(v)) for i, v in enumerate(x)], "ticker string, t int, x double")
+    specs = {f"y{n}_{warm}": Ewm.span("x", n, warm, adjust) for n in (1, 2, 9, 200) for warm in (0, 4)}
+    got = with_ewm(df, Axis(("ticker",), "t"), specs).orderBy("t").toPandas()
+    for name, spec in specs.items():
+        want = pd.Series(x).ewm(alpha=spec.alpha, adjust=adjust, min_periods=spec.min_periods).mean()
+        np.testing.assert_allclose(got[name].to_numpy(dtype=float), want.to_numpy(), rtol=1e-9)
+
+
 def test_ewm_crosses_blocks(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(100, 5, 3000)
