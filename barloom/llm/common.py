@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import types
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,45 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+ship(__name__)
+
+
+class Kept(dict):
+    """key -> ``make(key)``, kept for the next time.
+
+    Two generations of at most ``limit`` keys bound memory: when the younger one is full, the
+    older one goes, except what is used again.  Long keys are made anew each time.
+    """
+
+    limit, longest = 500_000, 40
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def make(self, key: str):
+        raise NotImplementedError
+
+    def __missing__(self, key: str):
+        found = self.older.pop(key, None)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
+def per_worker(name: str, make: Callable):
+    """What ``make`` gives, made once in a Python worker process and kept for its later tasks."""
+    kept = sys.modules.setdefault("barloom_kept_in_worker", types.ModuleType("barloom_kept_in_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")

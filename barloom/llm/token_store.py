@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, ship, small_batches
+from barloom.llm.common import Kept, partitions, per_worker, ship, small_batches
 
 ship(__name__)
 
@@ -40,8 +40,8 @@ MAGIC = b"IDSTORE1"
 HEADER = "<8sIIQQQQ"  # magic, bytes per id, hash levels, docs without key, docs, keys, ids
 # Bits of a level for each key that is still without a slot.
 SPREAD = 2
-# Bounds of a task's table of encoded words; a word that is not kept is encoded anew.
-KEPT_WORDS, KEPT_CHARS = 400_000, 40
+# Punctuation that ends a word and is a token sequence of its own behind letters.
+TAIL = ".,!?;:#*$%&|<>()-\"/"
 
 
 # --- minimal perfect hash -------------------------------------------------------------
@@ -101,11 +101,38 @@ def _id_type(width: int) -> str:
     return f"<u{width}"
 
 
-class WordTable(dict):
+class Encoded(Kept):
+    """text -> its ids as bytes of the payload, by the library."""
+
+    def __init__(self, vocab, width: int):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.vocab, self.kind = vocab, _id_type(width)
+        self.as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def make(self, text: str) -> bytes:
+        return np.array(self.vocab.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The same for lower-case Latin letters, which nothing before the merges changes or splits."""
+        plain = word if word.isascii() else self.as_bytes.pre_tokenize_str(word)[0][0]
+        return np.array([token.id for token in self.vocab.model.tokenize(plain)], dtype=self.kind).tobytes()
+
+
+class Words(Encoded):
+    """lower-case Latin word -> its ids."""
+
+    def make(self, text: str) -> bytes:
+        return self.word(text)
+
+
+class WordTable(Kept):
     """white-space free chunk -> its ids as bytes of the payload.
 
     The vocabulary drops white space and never merges across it, so the ids of a text
-    are those of its chunks in order.
+    are those of its chunks in order.  It also lower-cases, and splits letters from what is no
+    letter, so chunks such as ``Word,`` and ``word.`` share the ids of ``word``.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -113,23 +140,30 @@ class WordTable(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.vocab = Tokenizer.from_file(tokenizer_file)
-        self.vocab.no_padding()
-        self.vocab.no_truncation()
-        one, two = (self.vocab.encode(x, add_special_tokens=False).ids for x in ("ab cd", "ab \t\n cd"))
-        if one != two or one != sum((self.vocab.encode(x, add_special_tokens=False).ids for x in ("ab", "cd")), []):
-            raise ValueError("only vocabularies that drop white space are encoded by chunks")
-        self.width = 2 if self.vocab.get_vocab_size(with_added_tokens=True) <= 65_536 else 4
-        self[""] = b""
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.vocab.encode(chunk, add_special_tokens=False).ids, dtype=_id_type(self.width)).tobytes()
-        if len(chunk) <= KEPT_CHARS:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-                self[""] = b""
-            self[chunk] = ids
-        return ids
+        vocab = Tokenizer.from_file(tokenizer_file)
+        vocab.no_padding()
+        vocab.no_truncation()
+        one, *rest = (
+            [i for part in parts for i in vocab.encode(part, add_special_tokens=False).ids]
+            for parts in (["Ab cdé..."], ["ab \t\n cdé..."], ["AB", "cdé..."], ["ab", "CdÉ", "..."])
+        )
+        if any(other != one for other in rest):
+            raise ValueError("only vocabularies that lower-case, drop white space and split letters off are encoded by chunks")
+        self.width = 2 if vocab.get_vocab_size(with_added_tokens=True) <= 65_536 else 4
+        self.words, self.rest = Words(vocab, self.width), Encoded(vocab, self.width)
+        straight = b"".join(map(self.words.word, ("ab", "cdé"))) + self.rest["..."]
+        if straight != np.array(one, dtype=_id_type(self.width)).tobytes():
+            raise ValueError("only byte-level vocabularies are encoded by words")
+
+    def make(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
+        word = chunk.rstrip(TAIL)
+        # Latin letters: each has one lower-case form, whatever stands beside it.
+        if word.isalpha() and (word.isascii() or (max(word) < "\u0370" and "\u0130" not in word)):
+            tail = chunk[len(word) :]
+            return self.words[word.lower()] + (self.rest[tail] if tail else b"")
+        return self.rest.make(chunk)
 
     def payload(self, text: str, end: bytes) -> bytes:
         chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
@@ -218,7 +252,7 @@ def write_store(
         where.create_dir(root, recursive=True)
         finals = _files(root, shard)
         drafts = [f"{f}.{uuid.uuid4().hex}" for f in finals]
-        table = WordTable(tokenizer_file)
+        table = per_worker(f"words {tokenizer_file}", lambda: WordTable(tokenizer_file))
         end = np.array([end_id], dtype=_id_type(table.width)).tobytes()
         keys, lengths, keyless = [], [], 0
         with where.open_output_stream(drafts[0]) as out:
