@@ -20,9 +20,10 @@ KEY = ("date", "ticker", "horizon")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a table's folder is there, in any file system Spark can reach."""
+    """Whether a table's folder holds a partition, in any file system Spark can reach."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.exists(place) and any("=" in entry.getPath().getName() for entry in files.listStatus(place))
 
 
 def _batch_id() -> str:
