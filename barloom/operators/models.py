@@ -22,7 +22,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,8 @@ from barloom.operators import metrics as M
 from barloom.operators.cleaning import fit_scaler, standardize
 from barloom.operators.infotheory import mutual_information, names, top_by_information
 from barloom.operators.metrics import roc_auc
-from barloom.operators.splits import positional_split, with_roles
+from barloom.operators.splits import positional_split, purged_holdout, with_roles
+from barloom.session import materialize
 
 VEC = "features_vec"
 
@@ -158,7 +159,7 @@ def bayes_probability(df: DataFrame, table: DataFrame, features: Sequence[str],
 def boosted(task: str, label: str, validation: str | None = None, **params: Any) -> Estimator:
     """Gradient boosted trees; ``validation`` names a boolean column for early stopping."""
     common = dict(
-        featuresCol=VEC, labelCol=label, maxIter=int(params.get("num_iterations", 50)),
+        featuresCol=VEC, labelCol=label, maxIter=int(params.get("num_iterations", 1000)),
         stepSize=float(params.get("learning_rate", 0.05)), maxDepth=int(params.get("max_depth", 5)),
         subsamplingRate=float(params.get("bagging_fraction", 0.85)),
         featureSubsetStrategy=str(params.get("feature_fraction", "auto")),
@@ -169,33 +170,53 @@ def boosted(task: str, label: str, validation: str | None = None, **params: Any)
 
 
 def build_model(config: Mapping[str, Any], task: str, label: str = "label") -> Estimator:
-    """Estimator of a family: linear, online_linear, gbm, random_forest, naive_bayes, mlp."""
+    """Estimator of a family that needs nothing from the data: gbm, random_forest, naive_bayes, mlp."""
     family, params = config["family"], dict(config.get("params", {}))
-    if family in ("linear", "online_linear"):
-        alpha = float(params.get("alpha", 1.0))
-        if task == "classification":
-            return LogisticRegression(featuresCol=VEC, labelCol=label, regParam=alpha * 1e-3, standardization=False)
-        ratio = float(params.get("l1_ratio", 0.0))
-        return LinearRegression(featuresCol=VEC, labelCol=label, regParam=alpha, elasticNetParam=ratio, standardization=False)
     if family == "gbm":
-        classes = int(params.pop("classes", 2))
-        est = boosted(task, label, **params)
+        classes, validation = int(params.pop("classes", 2)), params.pop("validation", None)
+        est = boosted(task, label, validation, **params)
         return OneVsRest(classifier=est, labelCol=label, featuresCol=VEC) if classes > 2 else est
     if family == "random_forest":
-        return RandomForestClassifier(
+        common = dict(
             featuresCol=VEC, labelCol=label, numTrees=int(params.get("trees", 400)), maxDepth=6,
-            minInstancesPerNode=20, seed=42, weightCol=params.get("weight"),
+            minInstancesPerNode=20, seed=42,
         )
+        est = RandomForestClassifier(**common) if task == "classification" else RandomForestRegressor(**common)
+        return est.setWeightCol(params["weight"]) if params.get("weight") else est
     if family == "naive_bayes":
         return NaiveBayes(featuresCol=VEC, labelCol=label, modelType="gaussian")
     if family == "mlp":
         return MultilayerPerceptronClassifier(
             featuresCol=VEC, labelCol=label, layers=params["layers"], seed=42,
-            maxIter=int(params.get("epochs", 100)),
+            maxIter=int(params.get("epochs", 200)),
         )
     raise ValueError(f"unknown model family: {family}")
 
 
+def fit_model(
+    config: Mapping[str, Any], task: str, df: DataFrame, features: Sequence[str], label: str, valid: DataFrame | None = None
+) -> Model:
+    """Fit a family on plain feature columns; the linear ones by their exact objectives.
+
+    ``linear`` is elastic net or logistic with C = 1 / alpha, ``online_linear`` ridge (or the same
+    logistic).  ``valid``: later rows, purged by the caller, on which boosting stops early.
+    """
+    family, params = config["family"], dict(config.get("params", {}))
+    alpha = float(params.get("alpha", 1.0))
+    if family in ("linear", "online_linear"):
+        if task == "classification":
+            return logistic(df, features, label, alpha, params.get("weight"))
+        if family == "online_linear":
+            return ridge(df, features, label, alpha)
+        return elastic_net(df, features, label, alpha, float(params.get("l1_ratio", 0.0)))
+    if family == "gbm" and valid is not None and int(params.get("classes", 2)) == 2:
+        cols = [*features, label]
+        marked = df.select(*cols, F.lit(False).alias("__valid")).unionByName(valid.select(*cols, F.lit(True).alias("__valid")))
+        config = {"family": family, "params": {**params, "validation": "__valid"}}
+        return build_model(config, task, label).fit(assembled(marked, features))
+    return build_model(config, task, label).fit(assembled(df, features))
+
+
 def save_checkpoint(features: Sequence[str], model: Model, path: str) -> None:
     """Assembler and model as one pipeline on disk."""
     stages = [VectorAssembler(inputCols=list(features), outputCol=VEC), model]
@@ -210,24 +231,26 @@ def load_checkpoint(path: str) -> PipelineModel:
 
 
 def stacked(
-    train: DataFrame, test: DataFrame, features: Sequence[str], y: str, time: str = "date", epochs: int = 100
-) -> DataFrame:
+    train: DataFrame, test: DataFrame, features: Sequence[str], y: str, time: str = "date", epochs: int = 200,
+    hidden: Sequence[int] = (128, 64), purge: int = 1,
+) -> DataFrame:
     """Logistic, naive Bayes and perceptron branches under a logistic meta model.
 
     The meta model learns on the later half of the training dates, which the
-    branches have not seen; then the branches are refitted on all of them.
+    branches have not seen; then the branches are refitted on all of them.  The halves are cut
+    between dates, and ``purge`` dates before the cut, whose labels reach across it, are left out.
     """
-    halves = positional_split(train, 0.5, time=time)
-    early, late = halves.filter("first_part"), halves.filter(~F.col("first_part"))
-    layers = [len(features), 8, 2]
+    train = materialize(train, "stack-train")
+    halves = with_roles(train.select(time, *features, y), purged_holdout(train, 0.5, purge, time), time)
+    early, late = halves.filter("role = 'train'"), halves.filter("role = 'test'")
+    layers = [len(features), *hidden, 2]
     families = {"lr": ("linear", {}), "nb": ("naive_bayes", {}), "mlp": ("mlp", {"layers": layers, "epochs": epochs})}
 
     def branches(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
         scaler = fit_scaler(fit_on, features)
-        a, out = assembled(standardize(fit_on, scaler, features), features), apply_to
-        out = assembled(standardize(out, scaler, features), features)
+        scaled, out = materialize(standardize(fit_on, scaler, features), "stack"), assembled(standardize(apply_to, scaler, features), features)
         for name, (family, params) in families.items():
-            model = build_model({"family": family, "params": params}, "classification", y).fit(a)
+            model = fit_model({"family": family, "params": params}, "classification", scaled, features, y)
             out = probability(model.transform(out), f"p_{name}").drop("rawPrediction", "probability", "prediction")
         return out.drop(VEC)
 
@@ -263,8 +286,12 @@ def train_walk_forward(
     df: DataFrame, features: Sequence[str], y: str, roles: DataFrame, config: Mapping[str, Any], task: str,
     time: str = "date",
 ) -> DataFrame:
-    """One fit per fold; a row per fold with row counts and the report of the task."""
-    data = with_roles(df.select(time, *features, y).dropna(), roles, time).cache()
+    """One fit per fold; a row per fold with row counts and the report of the task.
+
+    Boosting stops early on the fold's ``val`` rows.  Each fold filters the same rows, no copy
+    per fold is made.
+    """
+    data = with_roles(materialize(df.select(time, *features, y).dropna(), "walk-forward"), roles, time)
     folds = [r[0] for r in data.select("fold").distinct().orderBy("fold").collect()]
     tables = []
     for fold in folds:
@@ -273,7 +300,8 @@ def train_walk_forward(
         n_train, n_test = train.count(), test.count()
         if not n_train or not n_test:
             continue
-        model = build_model(config, task, y).fit(assembled(train, features))
+        val = part.filter("role = 'val'")
+        model = fit_model(config, task, train, features, y, val if not val.isEmpty() else None)
         scored = model.transform(assembled(test, features))
         if task == "classification":
             report = M.classification_report(probability(scored), y, "prediction", "p")
@@ -286,16 +314,20 @@ def train_walk_forward(
 
 
 def transfer_evaluate(
-    source: DataFrame, target: DataFrame, features: Sequence[str], y: str, config: Mapping[str, Any], fraction: float = 0.5
-) -> DataFrame:
-    """Regression report on the target's later part: source model as is, and refitted on the earlier part."""
+    source: DataFrame, target: DataFrame, features: Sequence[str], y: str, config: Mapping[str, Any], fraction: float = 0.5,
+    task: str = "regression",
+) -> DataFrame:
+    """Report of the task on the target's later part: source model as is, and refitted on the earlier part."""
     parts = positional_split(target.dropna("any", subset=[*features, y]), fraction)
     first, tail = parts.filter("first_part"), parts.filter(~F.col("first_part"))
-    est = build_model(config, "regression", y)
     rows = []
     for name, fit_on in (("zero_shot", source.dropna("any", subset=[*features, y])), ("fine_tuned", first)):
-        scored = est.fit(assembled(fit_on, features)).transform(assembled(tail, features))
-        rows.append(M.regression_report(scored, y, "prediction").select(F.lit(name).alias("mode"), "*"))
+        scored = fit_model(config, task, fit_on, features, y).transform(assembled(tail, features))
+        if task == "classification":
+            report = M.classification_report(probability(scored), y, "prediction", "p")
+        else:
+            report = M.regression_report(scored, y, "prediction")
+        rows.append(report.select(F.lit(name).alias("mode"), "*"))
     return rows[0].unionByName(rows[1])
 
 
@@ -329,12 +361,19 @@ def signal_probe(df: DataFrame, features: Sequence[str], y: str, roles: DataFram
     return one.select("accuracy", "baseline", (F.col("accuracy") - F.col("baseline")).alias("gain"), best.alias("best_input_mi"), output.alias("output_mi"))
 
 
-def recent_importance(df: DataFrame, features: Sequence[str], y: str, k: int, recent: DataFrame, least: int = 500):
-    """Top-k by boosted-tree importance on recent dates; by information when there are few rows."""
-    part = df.join(recent, "date", "left_semi")
-    if part.count() <= least:
+def recent_importance(
+    df: DataFrame, features: Sequence[str], y: str, k: int, recent: DataFrame, method: str = "trees", rounds: int = 100
+) -> DataFrame:
+    """Top-k features: by boosted-tree importance on recent dates, or (``information``) by mutual information on all.
+
+    Short histories have too few recent rows for trees; the caller says so by ``method``.
+    """
+    if method == "information":
         return top_by_information(df, features, y, k).select("feature", F.col("mi").alias("value"))
-    model = boosted("classification", y, num_iterations=20).fit(assembled(part, features))
+    if method != "trees":
+        raise ValueError("method must be trees or information")
+    part = df.join(recent, "date", "left_semi")
+    model = boosted("classification", y, num_iterations=rounds).fit(assembled(part, features))
     return top_features(coefficients(model, features, df), k)
 
 
@@ -353,14 +392,19 @@ def lasso_overlap(df: DataFrame, features: Sequence[str], y: str, lam: float = 5
 def bias_variance(
     train: DataFrame, test: DataFrame, features: Sequence[str], y: str, keys: Sequence[str], rounds: int = 20, seed: int = 0
 ) -> DataFrame:
-    """Variance, squared bias, noise and total squared error over bootstrap fits."""
+    """Variance, squared bias, noise and total squared error over bootstrap fits.
+
+    A bootstrap sample weighs each row by a Poisson(1) draw from a hash of its key, so
+    it does not depend on how the rows are partitioned.
+    """
     scaler = fit_scaler(train, features)
-    a = assembled(standardize(train, scaler, features), features).select(y, VEC).cache()
-    b = assembled(standardize(test, scaler, features), features).select(*keys, y, VEC).cache()
+    a = materialize(assembled(standardize(train, scaler, features), features).select(*keys, y, VEC), "bias-train")
+    b = materialize(assembled(standardize(test, scaler, features), features).select(*keys, y, VEC), "bias-test")
     parts = []
     for i in range(rounds):
-        est = LogisticRegression(featuresCol=VEC, labelCol=y, maxIter=50, standardization=False)
-        model = est.fit(a.sample(True, 1.0, seed + i))
+        est = LogisticRegression(featuresCol=VEC, labelCol=y, maxIter=50, standardization=False, weightCol="__w")
+        u = F.pmod(F.xxhash64(*keys, F.lit(seed + i)), F.lit(1 << 40)) / float(1 << 40)
+        model = est.fit(a.withColumn("__w", M.poisson_one(u).cast("double")).filter("__w > 0"))
         parts.append(probability(model.transform(b)).select(*keys, F.col(y).cast("double").alias("y"), "p"))
     runs = reduce(DataFrame.unionByName, parts)
     rows = runs.groupBy(*keys, "y").agg(

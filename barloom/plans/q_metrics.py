@@ -326,7 +326,7 @@ def e15(spark, sf_dir):
 
 @query("e16_bootstrap_auc_gap")
 def e16(spark, sf_dir):
-    return M.bootstrap_auc_gap(scored(spark, sf_dir), "y", "p", "q", ["doc_id"], 200)
+    return M.bootstrap_auc_gap(scored(spark, sf_dir), "y", "p", "q", ["doc_id"], 1000)
 
 
 @query(

@@ -37,9 +37,8 @@ def _coef(model, features, df):
 @query("m01_model_factory")
 def m01(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    est = Z.build_model({"family": "linear", "params": {"alpha": 1.0}}, "classification", "up")
-    model = Z.pipeline(FEW, est).fit(train)
-    return Z.probability(model.transform(test)).select(*KEY, F.round("p", 6).alias("p"))
+    model = Z.fit_model({"family": "linear", "params": {"alpha": 1.0}}, "classification", train, FEW, "up")
+    return Z.probability(model.transform(Z.assembled(test, FEW))).select(*KEY, F.round("p", 6).alias("p"))
 
 
 _ONE = "c AS (SELECT covar_pop(fwd, dist_hi) AS cv, var_pop(dist_hi) AS v, avg(fwd) AS my, avg(dist_hi) AS mx, count(*) AS n FROM pb)"
@@ -84,17 +83,18 @@ def m04_rolling(spark, sf_dir):
 
 @query("m05_gradient_boosting")
 def m05(spark, sf_dir):
-    train, test = _split(spark, sf_dir)
-    late = train.select("date").distinct().orderBy(F.desc("date")).limit(200).withColumn("valid", F.lit(True))
-    marked = train.join(late, "date", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
-    est = Z.boosted("classification", "up", "valid", num_iterations=20)
-    return _coef(est.fit(Z.assembled(marked, FEW)), FEW, train)
+    """The last fifth of the training dates stops the fit early; the date before them is purged."""
+    train, _ = _split(spark, sf_dir)
+    parts = S.with_roles(train.drop("role"), S.purged_holdout(train, 0.8, 1))
+    early, late = parts.filter("role = 'train'"), parts.filter("role = 'test'")
+    model = Z.fit_model({"family": "gbm"}, "classification", early, FEW, "up", late)
+    return _coef(model, FEW, train)
 
 
 @query("m06_random_forest")
 def m06(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    est = Z.build_model({"family": "random_forest", "params": {"trees": 20, "weight": "weight"}}, "classification", "up")
+    est = Z.build_model({"family": "random_forest", "params": {"trees": 400, "weight": "weight"}}, "classification", "up")
     return _coef(est.fit(Z.assembled(Z.balanced_weights(train, "up"), FEW)), FEW, train)
 
 
@@ -133,7 +133,7 @@ def m09(spark, sf_dir):
 def m10(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     scaler = Z.fit_scaler(train, FEW)
-    est = Z.build_model({"family": "mlp", "params": {"layers": [len(FEW), 8, 2], "epochs": 30}}, "classification", "up")
+    est = Z.build_model({"family": "mlp", "params": {"layers": [len(FEW), 128, 64, 2], "epochs": 200}}, "classification", "up")
     model = est.fit(Z.assembled(Z.standardize(train, scaler, FEW), FEW))
     out = Z.probability(model.transform(Z.assembled(Z.standardize(test, scaler, FEW), FEW)))
     return out.select(*KEY, F.round("p", 6).alias("p"))
@@ -154,7 +154,7 @@ def i08(spark, sf_dir):
 @query("m12_stacking")
 def m12(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    out = Z.stacked(train.cache(), test, FEW, "up", epochs=30)
+    out = Z.stacked(train.cache(), test, FEW, "up")
     return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("p_lr", "p_nb", "p_mlp", "p")])
 
 
@@ -176,7 +176,7 @@ def m17(spark, sf_dir):
 @query("m20_top_features")
 def m20(spark, sf_dir):
     train, _ = _split(spark, sf_dir)
-    model = Z.boosted("classification", "up", num_iterations=10).fit(Z.assembled(train, FEATS))
+    model = Z.boosted("classification", "up", num_iterations=100).fit(Z.assembled(train, FEATS))
     return Z.top_features(Z.coefficients(model, FEATS, train), 5)
 
 
