@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import DAILY, EPS, Axis, clip, ratio
 from barloom.functions.rolling import Roll, with_rolling
-from barloom.operators.ranking import fits_window, with_ranks
+from barloom.operators.ranking import with_ranks
 
 # Look-backs of the context features.
 CONTEXT_HORIZONS = (5, 20, 60, 120, 252)
@@ -21,10 +21,10 @@ MACRO_HORIZONS = (20, 60, 120, 252)
 
 
 def percentile_ranks(
-    df: DataFrame, columns: Sequence[str], time: str = "date", suffix: str = "_rank", group_bound: int | None = None
+    df: DataFrame, columns: Sequence[str], time: str = "date", suffix: str = "_rank"
 ) -> DataFrame:
     """Tie-averaged percentile rank per date of every column, in (0, 1]."""
-    return with_ranks(df, [time], {f"{c}{suffix}": c for c in columns}, group_bound=group_bound)
+    return with_ranks(df, [time], {f"{c}{suffix}": c for c in columns})
 
 
 def equal_weight_index(df: DataFrame, by: Sequence[str] = (), ax: Axis = DAILY, out: str = "level") -> DataFrame:
@@ -91,13 +91,10 @@ def scale_macro(df: DataFrame, columns: Sequence[str], fit_until: str | None = N
     return staged.withColumns({c: 0.5 + 0.15 * clip(x, -3.0, 3.0) for c, x in z.items()}).drop("__s")
 
 
-def residual_returns(df: DataFrame, ax: Axis = DAILY, group_bound: int | None = None) -> DataFrame:
+def residual_returns(df: DataFrame, ax: Axis = DAILY) -> DataFrame:
     """Log return less the date's mean return, as ``residual``."""
     staged = df.withColumn("__r", ax.log_return(F.col("close")))
-    if fits_window(df, [ax.time], group_bound):
-        staged = staged.withColumn("__m", F.avg("__r").over(Window.partitionBy(ax.time)))
-    else:
-        staged = staged.join(staged.groupBy(ax.time).agg(F.avg("__r").alias("__m")), ax.time)
+    staged = staged.join(staged.groupBy(ax.time).agg(F.avg("__r").alias("__m")), ax.time)
     return staged.withColumn("residual", F.col("__r") - F.col("__m")).drop("__r", "__m")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import DAILY, TRADING_DAYS, Axis, cut, ratio
 from barloom.functions.rolling import Roll, with_rolling
-from barloom.operators.ranking import fits_window, quantiles, with_ranks
+from barloom.operators.ranking import quantiles, with_ranks
 
 
 def direction(df: DataFrame, horizon: int = 1, ax: Axis = DAILY) -> DataFrame:
@@ -65,17 +65,13 @@ def top_bottom_by_count(
     bottom: float = 0.3,
     out: str = "y_cs_quantile",
     time: str = "date",
-    group_bound: int | None = None,
 ) -> DataFrame:
     """1 for the best round(n*top) names of a date, 0 for the worst; the rest NULL.
 
     n counts the names without a forward return too; at least one name each.
     """
-    ranked = with_ranks(df, [time], {"__rank": fwd}, pct=False, group_bound=group_bound)
-    if fits_window(df, [time], group_bound):
-        ranked = ranked.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(time)))
-    else:
-        ranked = ranked.join(df.groupBy(time).agg(F.count(F.lit(1)).alias("__n")), time)
+    ranked = with_ranks(df, [time], {"__rank": fwd}, pct=False)
+    ranked = ranked.join(ranked.groupBy(time).agg(F.count(F.lit(1)).alias("__n")), time)
     n_top = F.greatest(F.lit(1.0), F.bround(F.col("__n") * F.lit(top)))
     n_bottom = F.greatest(F.lit(1.0), F.bround(F.col("__n") * F.lit(bottom)))
     label = F.when(F.col("__rank") > F.col("__n") - n_top, 1.0).when(F.col("__rank") <= n_bottom, 0.0)
@@ -94,9 +90,8 @@ def top_bottom_by_rank(
     bottom: float = 0.2,
     out: str = "label",
     time: str = "date",
-    group_bound: int | None = None,
 ) -> DataFrame:
-    ranked = with_ranks(df, [time], {"__rank": fwd}, group_bound=group_bound)
+    ranked = with_ranks(df, [time], {"__rank": fwd})
     return ranked.withColumn(out, split_by_rank(F.col("__rank"), top, bottom)).drop("__rank")
 
 
@@ -136,22 +131,18 @@ def volatility_labels(
     horizons: Sequence[int],
     label_pct: float = 0.5,
     time: str = "date",
-    group_bound: int | None = None,
 ) -> DataFrame:
     """y{k}: which side of the date's volatility split the row is on."""
-    ranked = with_ranks(df, [time], {f"__k{h}": f"h{h}" for h in horizons}, group_bound=group_bound)
+    ranked = with_ranks(df, [time], {f"__k{h}": f"h{h}" for h in horizons})
     out = ranked.withColumns({f"y{h}": rank_split(F.col(f"__k{h}"), label_pct) for h in horizons})
     return out.drop(*[f"__k{h}" for h in horizons])
 
 
 def above_median(
-    df: DataFrame, fwd: str, out: str = "y_cs", time: str = "date", group_bound: int | None = None
+    df: DataFrame, fwd: str, out: str = "y_cs", time: str = "date"
 ) -> DataFrame:
     """1 when the forward return beats the date's median."""
-    if fits_window(df, [time], group_bound):
-        staged = df.withColumn("__med", F.median(F.col(fwd)).over(Window.partitionBy(time)))
-    else:
-        staged = df.join(quantiles(df, [time], fwd, {"__med": 0.5}), time, "left")
+    staged = df.join(quantiles(df, [time], fwd, {"__med": 0.5}), time, "left")
     return staged.withColumn(out, (F.col(fwd) > F.col("__med")).cast("int")).drop("__med")
 
 

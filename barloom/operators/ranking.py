@@ -1,13 +1,10 @@
-"""Exact ranks, quantiles and order statistics of groups of any size.
+"""Exact ranks, quantiles and order statistics of groups of any size, one way for all.
 
-Two ways to the same answer:
-
-* groups known to be small (``group_bound`` at most ``WINDOW_LIMIT``) use one
-  ordinary window per group;
-* anything else goes through ``value_ranks``: equal values are counted first
-  (map-side), values fall into order-preserving buckets, and only the bucket
-  totals are added up per group.  The sort then runs per (group, bucket), so a
-  group holding a third of all rows is spread over many tasks.
+``value_ranks`` counts equal values first (map-side), lets values fall into
+order-preserving buckets, and adds up only the bucket totals per group.  Buckets are
+logarithmic, and each is cut into equal ranges of its own span, as many as its values
+ask for; so values crowded into a tiny interval are spread as well.  The sort runs per
+(group, bucket, range): a group holding a third of all rows is many tasks' work.
 """
 
 from __future__ import annotations
@@ -20,8 +17,8 @@ from pyspark.sql import functions as F
 
 from barloom.session import materialize
 
-# Rows one window partition may hold before the bucketed path is taken.
-WINDOW_LIMIT = 1_000_000
+# Distinct values that one range of a bucket is meant to hold.
+RANGE_VALUES = 16_384
 
 # Buckets per factor e of magnitude; about 2 800 per factor 2.
 RESOLUTION = 4096.0
@@ -36,19 +33,6 @@ def order_bucket(x: Column) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x) * 1e9) * RESOLUTION).cast("long")
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows in the largest group; one aggregate over the key columns only."""
-    if not by:
-        return df.count()
-    top = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return int(top or 0)
-
-
-def fits_window(df: DataFrame, by: Sequence[str], group_bound: int | None) -> bool:
-    bound = largest_group(df, by) if group_bound is None else group_bound
-    return bound <= WINDOW_LIMIT
-
-
 def value_ranks(df: DataFrame, by: Sequence[str], x: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct non-null value of each group.
 
@@ -57,27 +41,35 @@ def value_ranks(df: DataFrame, by: Sequence[str], x: str, extra: dict[str, Colum
     """
     by = list(by)
     extra = extra or {}
-    values = (
+    counted = (
         df.filter(F.col(x).isNotNull())
         .groupBy(*by, x)
         .agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()])
         .withColumn("__bucket", order_bucket(F.col(x)))
     )
-    along = Window.partitionBy(*by).orderBy("__bucket") if by else Window.orderBy("__bucket")
+    # Span and number of values of each bucket: bounded by the number of buckets, not by the rows.
+    shape = counted.groupBy(*by, "__bucket").agg(
+        F.min(x).alias("__low"), F.max(x).alias("__high"), F.ceil(F.count(F.lit(1)) / RANGE_VALUES).alias("__ranges")
+    )
+    part = F.floor((F.col(x) - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.col("__ranges"))
+    part = F.when(F.col("__high") > F.col("__low"), F.least(part, F.col("__ranges") - 1)).otherwise(0).cast("long")
+    keys = [*by, "__bucket", "__part"]
+    values = counted.join(shape, [*by, "__bucket"]).withColumn("__part", part).drop("__low", "__high", "__ranges")
+    # Hash by all keys, or a crowded bucket would stay in the task its join put it in.
+    values = values.repartition(*keys)
+    along = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("__bucket", "__part")
     whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    # Bucket totals: bounded by the number of buckets, not by the rows.
     base = (
-        values.groupBy(*by, "__bucket")
+        values.groupBy(*keys)
         .agg(F.sum("n").alias("__bn"))
         .select(
-            *by,
-            "__bucket",
+            *keys,
             F.coalesce(F.sum("__bn").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
             F.sum("__bn").over(whole).alias("total"),
         )
     )
-    inside = Window.partitionBy(*by, "__bucket").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return values.join(base, [*by, "__bucket"]).select(
+    inside = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    return values.join(base, keys).select(
         *by,
         x,
         "n",
@@ -98,13 +90,12 @@ def with_rank(
     x: str,
     out: str,
     pct: bool = False,
-    group_bound: int | None = None,
 ) -> DataFrame:
     """Add the tie-averaged rank of x in its group; NULL stays NULL.
 
     ``pct`` divides by the number of non-null values of the group.
     """
-    return with_ranks(df, by, {out: x}, pct, group_bound)
+    return with_ranks(df, by, {out: x}, pct)
 
 
 def with_ranks(
@@ -112,12 +103,9 @@ def with_ranks(
     by: Sequence[str],
     columns: dict[str, str],
     pct: bool = True,
-    group_bound: int | None = None,
 ) -> DataFrame:
     """``with_rank`` for many columns: output name -> input name."""
     by = list(by)
-    if fits_window(df, by, group_bound):
-        return df.withColumns({out: _window_rank(by, F.col(x), pct) for out, x in columns.items()})
     # The input feeds the counts and the join back: compute it once, as a table.
     rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "ranked")
     rank = average_rank() / F.col("total") if pct else average_rank()
@@ -134,16 +122,6 @@ def with_ranks(
     return rows.join(wide, "__row", "left").drop("__row")
 
 
-def _window_rank(by: list[str], x: Column, pct: bool) -> Column:
-    ordered = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
-    # RANGE CURRENT ROW is exactly the tie group, so the same sort serves both.
-    ties = ordered.rangeBetween(Window.currentRow, Window.currentRow)
-    value = F.rank().over(ordered) + (F.count(x).over(ties) - 1) / F.lit(2.0)
-    if pct:
-        value = value / F.count(x).over(Window.partitionBy(*by))
-    return F.when(x.isNotNull(), value)
-
-
 def with_ordinal(df: DataFrame, by: Sequence[str], x: str, ties: Sequence[str], out: str) -> DataFrame:
     """Add a unique 1-based rank: by x, then by the ``ties`` columns.  NULL rows go.
 

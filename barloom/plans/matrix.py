@@ -54,7 +54,6 @@ def feature_matrix(
     sentiment: DataFrame | None = None,
     extended: bool = False,
     min_history: int = 300,
-    group_bound: int | None = None,
     ax: Axis = DAILY,
     raw: tuple[DataFrame, list[str], list[str]] | None = None,
 ) -> tuple[DataFrame, list[str]]:
@@ -82,7 +81,7 @@ def feature_matrix(
     spec = {o: (f"__raw_{x}" if x in ranked else x) for o, x in out.items()}
     if target != "quantile":
         spec["__fwd_rank"] = "fwd"
-    df = with_ranks(renamed, [ax.time], spec, group_bound=group_bound)
+    df = with_ranks(renamed, [ax.time], spec)
     if macro:
         df = scale_macro(df, macro, time=ax.time)
     label = F.col("fwd") if target == "quantile" else L.split_by_rank(F.col("__fwd_rank"), top, bottom)
@@ -92,7 +91,7 @@ def feature_matrix(
 
 
 def build_store(
-    bars: DataFrame, horizons: Sequence[int], store: FeatureStore, group_bound: int | None = None
+    bars: DataFrame, horizons: Sequence[int], store: FeatureStore
 ) -> FeatureStore:
     """One batch per horizon; every horizon prunes to its own folder.
 
@@ -102,6 +101,6 @@ def build_store(
     df, ranked, macro = raw_features(bars)
     table = materialize(df.select("ticker", "date", "close", *ranked, *macro), "features")
     for h in horizons:
-        matrix, names = feature_matrix(None, horizon=h, group_bound=group_bound, raw=(table, ranked, macro))
+        matrix, names = feature_matrix(None, horizon=h, raw=(table, ranked, macro))
         store.upsert(matrix, names, "label", h)
     return store

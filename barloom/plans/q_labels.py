@@ -11,7 +11,7 @@ from barloom.operators import technicals as T
 from barloom.operators.blocks import blocked, owned
 from barloom.plans.registry import query, rounded
 from barloom.plans.sqltext import DAILY, INTRADAY, WIDE, ahead, lag, lead, r, rank_avg, rank_pct
-from barloom.sources.datasets import daily_panel, intraday_bars, nation_bound, supplier_bound, table, wide_panel
+from barloom.sources.datasets import daily_panel, intraday_bars, table, wide_panel
 
 KEY = ["ticker", "date"]
 R1 = f"(ln(close) - {lag('ln(close)')})"
@@ -30,7 +30,7 @@ FWD = f"f AS MATERIALIZED (SELECT ticker, date, {lead('ln(close)')} - ln(close)
 def flagship(spark, sf_dir):
     bars = C.drop_zero_volume(daily_panel(spark, sf_dir))
     df = L.forward_returns(T.log_returns(bars, (1,)), (1,), "fwd")
-    df = L.top_bottom_by_rank(df, "fwd1", group_bound=nation_bound(spark, sf_dir))
+    df = L.top_bottom_by_rank(df, "fwd1")
     return df.groupBy("date").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("label") == 1).alias("n_top"),
@@ -89,7 +89,7 @@ def l04(spark, sf_dir):
 )
 def l05(spark, sf_dir):
     df = L.forward_returns(wide_panel(spark, sf_dir), (1,), "fwd")
-    return L.top_bottom_by_count(df, "fwd1", group_bound=supplier_bound(spark, sf_dir)).select(*KEY, "y_cs_quantile")
+    return L.top_bottom_by_count(df, "fwd1").select(*KEY, "y_cs_quantile")
 
 
 @query(
@@ -99,7 +99,7 @@ def l05(spark, sf_dir):
 )
 def l06(spark, sf_dir):
     df = L.forward_returns(wide_panel(spark, sf_dir), (1,), "fwd")
-    out = L.top_bottom_by_rank(df, "fwd1", group_bound=supplier_bound(spark, sf_dir)).filter("label is not null")
+    out = L.top_bottom_by_rank(df, "fwd1").filter("label is not null")
     return out.select(*KEY, F.round("fwd1", 6).alias("fwd1"), "label")
 
 
@@ -137,7 +137,7 @@ def l07(spark, sf_dir):
 )
 def l08(spark, sf_dir):
     df = L.volatility_targets(daily_panel(spark, sf_dir), HS)
-    return L.volatility_labels(df, HS, group_bound=nation_bound(spark, sf_dir)).select(*KEY, *[f"y{h}" for h in HS])
+    return L.volatility_labels(df, HS).select(*KEY, *[f"y{h}" for h in HS])
 
 
 @query(
@@ -152,7 +152,7 @@ def l08(spark, sf_dir):
 )
 def l09(spark, sf_dir):
     df = L.volatility_targets(daily_panel(spark, sf_dir), HS, returns=True)
-    wide = L.volatility_labels(df, HS, 0.3, group_bound=nation_bound(spark, sf_dir))
+    wide = L.volatility_labels(df, HS, 0.3)
     parts = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"y{h}").alias("y"), F.col(f"r{h}").alias("r")) for h in HS])
     long = wide.select(*KEY, F.explode(parts).alias("p")).select(*KEY, "p.*").filter("y is not null")
     return long.withColumn("r", F.round("r", 6))
@@ -211,7 +211,7 @@ def l11(spark, sf_dir):
 def l12(spark, sf_dir):
     df = wide_panel(spark, sf_dir)
     df = df.withColumn("fwd", L.DAILY.lead(F.col("close")) / F.col("close") - 1)
-    return L.above_median(df, "fwd", group_bound=supplier_bound(spark, sf_dir)).select(*KEY, "y_cs")
+    return L.above_median(df, "fwd").select(*KEY, "y_cs")
 
 
 @query(

@@ -15,7 +15,7 @@ from barloom.operators.ranking import with_ordinal
 from barloom.plans.registry import query, rounded
 from barloom.session import materialize
 from barloom.plans.sqltext import DAILY, WIDE, ahead, full, lag, lead, rank_pct
-from barloom.sources.datasets import daily_panel, supplier_bound, table, wide_panel
+from barloom.sources.datasets import daily_panel, table, wide_panel
 
 KEY = ["ticker", "date"]
 R1 = f"(ln(close) - {lag('ln(close)')})"
@@ -198,7 +198,6 @@ def long_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (ticker, date, horizon): outcome y, volatility bucket, role."""
     from barloom.operators.blocks import date_positions
     from barloom.operators.ranking import with_ranks
-    from barloom.sources.datasets import nation_bound
 
     df = daily_panel(spark, sf_dir).withColumn("r1", AX.log_return(F.col("close")))
     df = df.select(
@@ -207,7 +206,7 @@ def long_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         AX.full(F.stddev_samp, F.col("r1"), 20).alias("v"),
         *[L.forward_return(h).alias(f"f{h}") for h in HS],
     ).filter("v is not null")
-    df = with_ranks(df, ["date"], {"rk": "v"}, group_bound=nation_bound(spark, sf_dir))
+    df = with_ranks(df, ["date"], {"rk": "v"})
     df = df.withColumn("bucket", F.least(F.floor(F.col("rk") * 3), F.lit(2)).cast("int"))
     dates = date_positions(df, "date", "dp", "dn")
     share = lambda f: F.floor(F.lit(f) * F.col("dn"))
@@ -352,12 +351,11 @@ def e18(spark, sf_dir):
 )
 def m18(spark, sf_dir):
     from barloom.operators.models import persistence_baseline
-    from barloom.sources.datasets import nation_bound
 
     daily = daily_panel(spark, sf_dir)
     df = daily.withColumn("r1", AX.log_return(F.col("close")))
     df = df.select(*KEY, AX.full(F.stddev_samp, F.col("r1"), 252).alias("vol252"), L.forward_volatility(F.col("r1"), 20).alias("h20"))
-    df = L.volatility_labels(df, (20,), group_bound=nation_bound(spark, sf_dir))
+    df = L.volatility_labels(df, (20,))
     return rounded(persistence_baseline(df, "y20", ["vol252"], S.purged_holdout(daily, 0.8, 1)), ["feature"])
 
 
@@ -391,7 +389,7 @@ _LS = f"""ls AS MATERIALIZED (SELECT date, avg(CASE WHEN p >= hi THEN y END) - a
 
 def long_short(spark, sf_dir):
     df = predictions(spark, sf_dir).dropna()
-    return B.long_short_returns(df, "p", "y", group_bound=supplier_bound(spark, sf_dir))
+    return B.long_short_returns(df, "p", "y")
 
 
 @query("b03_long_short", f"WITH {WIDE}, {PRED}, {_LS} SELECT date, round(ls_return, 6) AS ls_return FROM ls")

@@ -12,7 +12,7 @@ from barloom.operators import labels as L
 from barloom.operators import sequences as Q
 from barloom.plans.registry import query, rounded
 from barloom.plans.sqltext import BARS, DAILY, INTRADAY, WIDE, clip0, full, lag, lead, r, rank_pct, w
-from barloom.sources.datasets import _bar_columns, daily_panel, intraday_bars, sector_map, supplier_bound, table, wide_panel
+from barloom.sources.datasets import _bar_columns, daily_panel, intraday_bars, sector_map, table, wide_panel
 
 KEY = ["ticker", "date"]
 R1 = f"(ln(close) - {lag('ln(close)')})"

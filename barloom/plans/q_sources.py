@@ -17,7 +17,7 @@ from barloom.plans.sqltext import DAILY, OVER, SECTOR, WIDE, lag, lead, r, rank_
 from barloom.session import scratch_path
 from barloom.sources import bars as S
 from barloom.sources import news as N
-from barloom.sources.datasets import daily_panel, nation_bound, sector_map, supplier_bound, table, wide_panel
+from barloom.sources.datasets import daily_panel, sector_map, table, wide_panel
 from barloom.sources.store import FeatureStore, LedgerTable, merge_scales, write_results
 
 KEY = ["ticker", "date"]
@@ -214,7 +214,7 @@ def store_rows(spark, sf_dir, horizon: int):
         *KEY, ax.log_return(c).alias("a"), (c / ax.lag(c, 5) - 1).alias("b"), L.forward_return(horizon).alias("fwd")
     )
     df = df.dropna("any", subset=["b", "fwd"])
-    return L.top_bottom_by_rank(df, "fwd", group_bound=supplier_bound(spark, sf_dir))
+    return L.top_bottom_by_rank(df, "fwd")
 
 
 def filled_store(spark, sf_dir) -> FeatureStore:
@@ -279,7 +279,7 @@ def s17(spark, sf_dir):
     from barloom.plans.matrix import build_store
 
     store = FeatureStore(spark, scratch_path(spark, "store"))
-    build_store(daily_panel(spark, sf_dir), (1, 20), store, nation_bound(spark, sf_dir))
+    build_store(daily_panel(spark, sf_dir), (1, 20), store)
     v = F.col("vec")
     return store.current().select(
         F.col("horizon").cast("int").alias("horizon"),

@@ -19,7 +19,7 @@ from barloom.plans.sqltext import (
     w,
     warm,
 )
-from barloom.sources.datasets import daily_panel, market_frame, nation_bound
+from barloom.sources.datasets import daily_panel, market_frame
 from barloom.operators.ranking import with_ranks
 
 KEY = ["ticker", "date"]
@@ -254,7 +254,7 @@ _T14 = ["ret1", "ret20", "vol20", "mom60", "rsi14", "ma50_ratio", "dist52h", "di
 )
 def t14(spark, sf_dir):
     out = T.return_pyramid(daily_panel(spark, sf_dir))
-    ranked = with_ranks(out, ["date"], {f"{c}_rank": c for c in T.PYRAMID}, group_bound=nation_bound(spark, sf_dir))
+    ranked = with_ranks(out, ["date"], {f"{c}_rank": c for c in T.PYRAMID})
     return rounded(ranked, KEY, 6, [f"{c}_rank" for c in T.PYRAMID])
 
 

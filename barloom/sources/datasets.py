@@ -69,13 +69,3 @@ def intraday_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count(F.lit(1)).cast("double").alias("volume"),
         )
     )
-
-
-def nation_bound(spark: SparkSession, sf_dir: str) -> int:
-    """Most rows one date of the daily panel can hold; read from file footers."""
-    return table(spark, sf_dir, "nation").count()
-
-
-def supplier_bound(spark: SparkSession, sf_dir: str) -> int:
-    """Most rows one date of the wide panel can hold; read from file footers."""
-    return table(spark, sf_dir, "supplier").count()

@@ -88,13 +88,21 @@ def ties(spark):
     return spark.createDataFrame([*rows, ("c", 0, 1.5)], "g string, i int, x double").cache()
 
 
-@pytest.mark.parametrize("bound", [None, 2**40])
-def test_rank_both_paths(ties, bound):
-    got = ranking.with_ranks(ties, ["g"], {"p": "x"}, group_bound=bound).toPandas().sort_values(["g", "i"])
+def test_values_crowded_into_a_tiny_interval_use_many_tasks(spark):
+    df = spark.range(200_000).select((10_000 + F.col("id") * 5e-7).alias("x"))
+    ranks = ranking.value_ranks(df, [], "x")
+    got = ranks.agg(F.count("*"), F.sum((F.col("below") == F.round((F.col("x") - 10_000) / 5e-7)).cast("int"))).first()
+    assert tuple(got) == (200_000, 200_000)
+    parts = ranks.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1
+
+
+def test_ranks(ties):
+    got = ranking.with_ranks(ties, ["g"], {"p": "x"}).toPandas().sort_values(["g", "i"])
     want = got.groupby("g").x.rank(pct=True)
     np.testing.assert_allclose(got.p.to_numpy(dtype=float), want.to_numpy(), equal_nan=True)
     two = ties.withColumn("z", -F.col("x") * F.col("i"))
-    got = ranking.with_ranks(two, ["g"], {"p": "x", "q": "z"}, group_bound=bound).toPandas().sort_values(["g", "i"])
+    got = ranking.with_ranks(two, ["g"], {"p": "x", "q": "z"}).toPandas().sort_values(["g", "i"])
     assert len(got) == 401
     for out, x in (("p", "x"), ("q", "z")):
         want = got.groupby("g")[x].rank(pct=True)
