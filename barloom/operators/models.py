@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier,
@@ -23,10 +24,11 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics as M
+from barloom.operators.blocks import date_positions
 from barloom.operators.cleaning import fit_scaler, standardize
 from barloom.operators.infotheory import mutual_information, names, top_by_information
 from barloom.operators.metrics import roc_auc
@@ -74,19 +76,43 @@ def ridge(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0) ->
 
 
 def rolling_ridge(
-    df: DataFrame, features: Sequence[str], y: str, refits: Sequence[str], years: int = 3, alpha: float = 1.0,
+    df: DataFrame, features: Sequence[str], y: str, every: int = 21, window: int = 756, alpha: float = 1.0,
     time: str = "date",
 ) -> DataFrame:
-    """Predictions between consecutive refit dates, each from the last ``years`` years."""
-    parts = []
-    for start, end in zip(refits, [*refits[1:], None]):
-        day = F.lit(start).cast("date")
-        window = df.filter((F.col(time) < day) & (F.col(time) >= F.add_months(day, -12 * years)))
-        ahead = df.filter(F.col(time) >= day)
-        if end:
-            ahead = ahead.filter(F.col(time) < F.lit(end).cast("date"))
-        parts.append(ridge(window, features, y, alpha).transform(assembled(ahead, features)).drop(VEC))
-    return reduce(DataFrame.unionByName, parts)
+    """Predictions of a ridge refitted every ``every`` dates on the ``window`` dates before (three years).
+
+    One pass sums products of the columns per bucket of ``every`` dates; a refit adds up its buckets and
+    solves a system as small as the features.  There is one row of sums per bucket of the calendar, so the
+    solving is done on the driver.  Rows before the first refit, and rows with a missing feature, have no prediction.
+    """
+    cols = list(features)
+    placed = df.join(date_positions(df, time, "__p"), time).withColumn("__b", F.floor(F.col("__p") / every))
+    pairs = [(a, b) for i, a in enumerate(cols) for b in [*cols[i:], y]]
+    sums = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"s_{c}") for c in [*cols, y])]
+    sums += [F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a, b in pairs]
+    per = placed.dropna("any", subset=[*cols, y]).groupBy("__b").agg(*sums)
+    buckets = placed.select("__b").distinct().join(per, "__b", "left")
+    past = Window.orderBy("__b").rangeBetween(-(window // every), -1)
+    found = buckets.select("__b", *(F.sum(c).over(past).alias(c) for c in per.columns if c != "__b")).filter("n > 0")
+    rows = []
+    for r in found.collect():
+        n = r["n"]
+        mean = np.array([r[f"s_{c}"] for c in cols]) / n
+        xx, xy = np.zeros((len(cols), len(cols))), np.zeros(len(cols))
+        for a, b in pairs:
+            i = cols.index(a)
+            if b == y:
+                xy[i] = r[f"p_{a}_{y}"] - r[f"s_{a}"] * r[f"s_{y}"] / n
+            else:
+                j = cols.index(b)
+                xx[i, j] = xx[j, i] = r[f"p_{a}_{b}"] - r[f"s_{a}"] * r[f"s_{b}"] / n
+        w = np.linalg.solve(xx + alpha * np.eye(len(cols)), xy)
+        rows.append((r["__b"], float(r[f"s_{y}"] / n - mean @ w), [float(v) for v in w]))
+    table = df.sparkSession.createDataFrame(rows, "__b long, __c double, __w array<double>")
+    value = F.col("__c")
+    for i, c in enumerate(cols):
+        value = value + F.col("__w")[i] * F.col(c)
+    return placed.join(table, "__b").withColumn("prediction", value).drop("__b", "__p", "__c", "__w")
 
 
 def logistic(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, weight: str | None = None) -> Model:

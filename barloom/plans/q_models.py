@@ -74,10 +74,17 @@ def m04(spark, sf_dir):
     return spark.createDataFrame(rows, "coefficient double, intercept double")
 
 
-@query("m04_rolling_ridge")
+@query(
+    "m04_rolling_ridge",
+    f"""WITH {WIDE}, {PROBE}, q AS (SELECT *, (dense_rank() OVER (ORDER BY date) - 1) // 21 AS b FROM pb),
+ s AS (SELECT b, count(*) AS n, sum(dist_hi) AS sx, sum(fwd) AS sy, sum(dist_hi * dist_hi) AS sxx, sum(dist_hi * fwd) AS sxy FROM q GROUP BY 1),
+ r AS (SELECT b, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx, sum(sxy) OVER w AS sxy
+  FROM s WINDOW w AS (ORDER BY b RANGE BETWEEN 36 PRECEDING AND 1 PRECEDING)),
+ c AS (SELECT b, (sxy - sx * sy / n) / (sxx - sx * sx / n + 1) AS k, sx / n AS mx, sy / n AS my FROM r WHERE n > 0)
+ SELECT ticker, date, round(my + k * (dist_hi - mx), 6) AS prediction FROM q JOIN c USING (b)""",
+)
 def m04_rolling(spark, sf_dir):
-    df = probe_frame(spark, sf_dir).cache()
-    out = Z.rolling_ridge(df, FEW, "fwd", ["1999-01-01", "2000-01-01", "2001-01-01"])
+    out = Z.rolling_ridge(probe_frame(spark, sf_dir), ["dist_hi"], "fwd")
     return out.select(*KEY, F.round("prediction", 6).alias("prediction"))
 
 

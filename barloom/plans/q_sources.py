@@ -182,9 +182,15 @@ def news_scores(spark, sf_dir):
     return N.lexicon_scores(flat, "title", lexicon, ("doc_id", "ticker", "date"))
 
 
-@query("s12_lexicon_scores", f"WITH {_NEWS}, {_SCORE} SELECT doc_id, round(score, 6) AS score FROM so")
+@query(
+    "s12_lexicon_scores",
+    f"""WITH {_LEX}, tk AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}]+')) AS word FROM documents),
+ sm AS (SELECT doc_id, sum(valence) AS s FROM tk JOIN lx USING (word) GROUP BY 1)
+ SELECT doc_id, round(coalesce(s, 0) / sqrt(coalesce(s, 0) * coalesce(s, 0) + 15), 6) AS score FROM documents LEFT JOIN sm USING (doc_id)""",
+)
 def s12(spark, sf_dir):
-    return rounded(news_scores(spark, sf_dir), ["doc_id"], 6, ["score"])
+    lexicon = spark.createDataFrame(list(LEXICON), "word string, valence double")
+    return rounded(N.lexicon_scores(table(spark, sf_dir, "documents"), "text", lexicon, ("doc_id",)), ["doc_id"], 6, ["score"])
 
 
 @query(
