@@ -1,6 +1,7 @@
 """Registered queries: models.
 
-Closed forms are checked with SQL on one feature; iterative fits are rows-only.
+Closed forms and logistic fits (Newton steps) are checked with SQL on one feature; other
+iterative fits are rows-only.
 """
 
 from __future__ import annotations
@@ -34,11 +35,37 @@ def _coef(model, features, df):
     return rounded(Z.coefficients(model, features, df), ["feature"])
 
 
-@query("m01_model_factory")
+ONE = ["dist_hi"]
+
+
+def _logistic_sql(alpha: str, select: str) -> str:
+    """Newton steps for a logistic fit of ``up`` on one feature with a free intercept, on the training dates."""
+    return f"""WITH RECURSIVE {WIDE}, {PROBE},
+ q AS MATERIALIZED (SELECT ticker, date, dist_hi AS x, CAST(fwd > 0 AS INTEGER) AS y, dense_rank() OVER (ORDER BY date) - 1 AS p FROM pb),
+ e AS (SELECT floor(0.7::DOUBLE * (max(p) + 1)) AS cut FROM q), tr AS MATERIALIZED (SELECT x, y FROM q, e WHERE p < cut - 1),
+ it(i, w, b) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
+  SELECT i + 1, w - (gw * hb - gb * hwb) / (hw * hb - hwb * hwb), b - (gb * hw - gw * hwb) / (hw * hb - hwb * hwb)
+  FROM (SELECT i, w, b, sum((s - y) * x) + {alpha} * w AS gw, sum(s - y) AS gb, sum(s * (1 - s) * x * x) + {alpha} AS hw,
+    sum(s * (1 - s) * x) AS hwb, sum(s * (1 - s)) AS hb
+   FROM (SELECT i, w, b, x, y, 1 / (1 + exp(-(w * x + b))) AS s FROM it, tr) GROUP BY 1, 2, 3) WHERE i < 14),
+ f AS (SELECT w, b FROM it WHERE i = 14) {select}"""
+
+
+_FIT = "SELECT round(w, 4) AS coefficient, round(b, 4) AS intercept, (SELECT count(*) FROM q, e WHERE p >= cut AND w * x + b > 0) AS called_up FROM f"
+
+
+def _fitted(spark, model, test):
+    """Coefficient and intercept of a one-feature fit, and how many test rows it calls up."""
+    up = Z.probability(model.transform(Z.assembled(test, ONE))).filter("p > 0.5").count()
+    row = (round(float(model.coefficients[0]), 4), round(float(model.intercept), 4), up)
+    return spark.createDataFrame([row], "coefficient double, intercept double, called_up long")
+
+
+@query("m01_model_factory", _logistic_sql("1::DOUBLE", _FIT))
 def m01(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    model = Z.fit_model({"family": "linear", "params": {"alpha": 1.0}}, "classification", train, FEW, "up")
-    return Z.probability(model.transform(Z.assembled(test, FEW))).select(*KEY, F.round("p", 6).alias("p"))
+    model = Z.fit_model({"family": "linear", "params": {"alpha": 1.0}}, "classification", train, ONE, "up")
+    return _fitted(spark, model, test)
 
 
 _ONE = "c AS (SELECT covar_pop(fwd, dist_hi) AS cv, var_pop(dist_hi) AS v, avg(fwd) AS my, avg(dist_hi) AS mx, count(*) AS n FROM pb)"
@@ -58,10 +85,10 @@ def m02(spark, sf_dir):
     return spark.createDataFrame(rows, "l1 int, coefficient double, intercept double")
 
 
-@query("m03_logistic")
+@query("m03_logistic", _logistic_sql("10::DOUBLE", _FIT))
 def m03(spark, sf_dir):
-    train, _ = _split(spark, sf_dir)
-    return _coef(Z.logistic(train, FEW, "up", 1.0), FEW, train)
+    train, test = _split(spark, sf_dir)
+    return _fitted(spark, Z.logistic(train, ONE, "up", 10.0), test)
 
 
 @query(
@@ -114,11 +141,10 @@ def m07(spark, sf_dir):
     return df.groupBy("up").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"))
 
 
-@query("m08_logistic_unpenalised")
+@query("m08_logistic_unpenalised", _logistic_sql("0::DOUBLE", _FIT))
 def m08(spark, sf_dir):
-    train, _ = _split(spark, sf_dir)
-    train = Z.standardize(train, Z.fit_scaler(train, FEW), FEW)
-    return _coef(Z.logistic(train, FEW, "up", 1e-6), FEW, train)
+    train, test = _split(spark, sf_dir)
+    return _fitted(spark, Z.logistic(train, ONE, "up", 1e-6), test)
 
 
 def _bayes_sql() -> str:
@@ -193,12 +219,15 @@ def m21(spark, sf_dir):
     return Z.bias_variance(train, test, FEW, "up", KEY, rounds=20)
 
 
-@query("m22_checkpoint")
+@query("m22_checkpoint", _logistic_sql("1::DOUBLE", _FIT))
 def m22(spark, sf_dir):
     train, test = _split(spark, sf_dir)
     path = scratch_path(spark, "model")
-    Z.save_checkpoint(FEW, Z.logistic(train, FEW, "up"), path)
-    return Z.probability(Z.load_checkpoint(path).transform(test)).select(*KEY, F.round("p", 6).alias("p"))
+    Z.save_checkpoint(ONE, Z.logistic(train, ONE, "up"), path)
+    loaded = Z.load_checkpoint(path)
+    up = Z.probability(loaded.transform(test)).filter("p > 0.5").count()
+    row = (round(float(loaded.stages[-1].coefficients[0]), 4), round(float(loaded.stages[-1].intercept), 4), up)
+    return spark.createDataFrame([row], "coefficient double, intercept double, called_up long")
 
 
 @query("e17_signal_probe")
