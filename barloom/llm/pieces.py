@@ -15,16 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ship, small_batches
+from barloom.llm.common import Kept, per_worker, ship, small_batches
 
 ship(__name__)
 
 MARK = "▁"
-# Bounds of a task's table; a chunk that is not kept is segmented anew.
-KEPT_CHUNKS, KEPT_CHARS = 400_000, 40
 
-
-class ChunkTable(dict):
+class ChunkTable(Kept):
     """chunk -> (number of ids, ids as decimal text, decoded text)."""
 
     def __init__(self, model_file: str):
@@ -48,15 +45,10 @@ class ChunkTable(dict):
             return self.vocab.encode(chunk[1:].replace(MARK, " "))
         return self.vocab.encode(" " * (len(chunk) - 1) + "\n")[:-1]
 
-    def __missing__(self, chunk: str) -> tuple[int, str, str]:
+    def make(self, chunk: str) -> tuple[int, str, str]:
         ids = self.ids(chunk)
         # The library drops the mark at the start of what it decodes.
-        row = (len(ids), ",".join(map(str, ids)), " " * (chunk[0] == MARK) + self.vocab.decode(ids))
-        if len(chunk) <= KEPT_CHARS:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = row
-        return row
+        return len(ids), ",".join(map(str, ids)), " " * (chunk[0] == MARK) + self.vocab.decode(ids)
 
     def rows(self, text: str) -> list[tuple[int, str, str]]:
         """The table's rows of a text's chunks, in order; none for the empty text."""
@@ -76,7 +68,7 @@ def encoded(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_file)
+        table = per_worker(f"chunks {model_file}", lambda: ChunkTable(model_file))
         for batch in batches:
             ids = [encode_ids(table, t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
@@ -99,7 +91,7 @@ def digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: st
         return hashlib.sha256(text.encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model_file)
+        table = per_worker(f"chunks {model_file}", lambda: ChunkTable(model_file))
         for batch in batches:
             n, ids, decoded = [], [], []
             for text in batch.column(1):
