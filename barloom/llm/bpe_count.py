@@ -15,18 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import ship, small_batches
+from barloom.llm.common import Kept, per_worker, ship, small_batches
 
 ship(__name__)
 
 MARK = "▁"
-# Counts kept per task, and the longest chunk whose count is kept.  They bound
-# memory only: a chunk that is not kept is counted anew.
-KEPT_CHUNKS, KEPT_CHARS = 1_000_000, 40
+# Characters from which the chunks of a text are not listed at once.
 LONG_TEXT = 1_000_000
 
 
-class MergeCounter(dict):
+class MergeCounter(Kept):
     """chunk -> number of tokens, for a BPE vocabulary in a sentencepiece model file."""
 
     def __init__(self, model_file: str):
@@ -61,7 +59,7 @@ class MergeCounter(dict):
         """Tokens of one unmerged character: its bytes if the vocabulary lacks it."""
         return 1 if symbol in self.rank or not self.fallback else len(symbol.encode())
 
-    def merged(self, chunk: str) -> int:
+    def make(self, chunk: str) -> int:
         rank, symbols, size = self.rank, list(chunk), len(chunk)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
         cost = list(map(self.first_cost, symbols))
@@ -90,14 +88,6 @@ class MergeCounter(dict):
                 offer(before[i], i)
         return count
 
-    def __missing__(self, chunk: str) -> int:
-        found = self.merged(chunk)
-        if len(chunk) <= KEPT_CHARS:
-            if len(self) >= KEPT_CHUNKS:
-                self.clear()
-            self[chunk] = found
-        return found
-
     def count(self, text: str | None) -> int:
         if not text:
             return 0
@@ -120,7 +110,7 @@ def token_counts(
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = MergeCounter(model_file)
+        counter = per_worker(f"merges {model_file}", lambda: MergeCounter(model_file))
         for batch in batches:
             n = [counter.count(t.as_py()) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
