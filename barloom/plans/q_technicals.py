@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from barloom.functions.ewm import Ewm, with_ewm
+from barloom.functions.expr import DAILY as AX
 from barloom.operators import extended as X
 from barloom.operators import technicals as T
 from barloom.plans.registry import query, rounded
@@ -60,6 +65,22 @@ _simple(
     "sm",
 )
 
+_GAPS = f"""WITH RECURSIVE {DAILY}, g AS MATERIALIZED (SELECT ticker, date, n, CASE WHEN n % 9 <> 0 THEN close END AS c
+  FROM (SELECT ticker, date, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS n FROM daily)),
+ y(ticker, n, v, gap) AS (SELECT ticker, n, c, 1 FROM g WHERE n = 1 UNION ALL
+  SELECT g.ticker, g.n, CASE WHEN g.c IS NULL THEN y.v ELSE (pow(0.8::DOUBLE, y.gap) * y.v + 0.2::DOUBLE * g.c) / (pow(0.8::DOUBLE, y.gap) + 0.2::DOUBLE) END,
+   CASE WHEN g.c IS NULL THEN y.gap + 1 ELSE 1 END FROM y JOIN g ON g.ticker = y.ticker AND g.n = y.n + 1)
+ SELECT ticker, date, round(v, 4) AS ema_9 FROM y JOIN g USING (ticker, n)"""
+
+
+@query("t02_ema_gaps", _GAPS)
+def t02_gaps(spark, sf_dir):
+    """Every ninth close is missing: the mean keeps its value there and its weight decays."""
+    n = F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
+    df = daily_panel(spark, sf_dir).withColumn("__n", n).withColumn("close", F.when(F.col("__n") % 9 != 0, F.col("close")))
+    return with_ewm(df, AX, {"ema_9": Ewm.span("close", 9)}).select("ticker", "date", F.round("ema_9", 4).alias("ema_9"))
+
+
 _MACD = ewm("a", "daily", {"f": ("close", 2 / 13), "s": ("close", 2 / 27)}) + (
     f", m AS MATERIALIZED (SELECT *, {warm('f', 12, 'close')} - {warm('s', 26, 'close')} AS line FROM a),"
     + ewm("b", "m", {"sg": ("line", 0.2)})
