@@ -98,6 +98,8 @@ ELSEWHERE = [
     "Creative work in the commons is open to the public",
     "The fishing licence costs three pounds and is available under the counter",
 ]
+# Share of plain lines that a word may stand in to count as rare.
+RARE = 0.005
 NONE, OTHER, UNKNOWN = "none", "other", "unknown"
 
 
@@ -201,30 +203,38 @@ def fit(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
         .select("text", F.xxhash64(F.lit(seed), "id", "at").alias("draw"))
         .orderBy("draw", "text")
         .limit(sample)
-        .select("text", F.lit(NONE).alias("family"))
+        .select("text", F.lit(NONE).alias("family"), F.lit(True).alias("sampled"))
     )
     telling = r"(?i)licen[cs]e|copyright|\bspdx\b|public domain|\bwarranty\b"
-    rows = authored(spark, seed=seed).unionByName(plain.filter(~F.col("text").rlike(telling))).distinct()
+    made = authored(spark, seed=seed).withColumn("sampled", F.lit(False))
+    rows = made.unionByName(plain.filter(~F.col("text").rlike(telling))).distinct()
     classes = (*sorted(NAMES), OTHER, NONE)
     label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
     rows = materialize(
         rows.select(
-            "text", label.cast("double").alias("label"), _marked(F.col("text")).alias("grams"), F.pmod(F.xxhash64("text"), F.lit(4)).alias("fold")
+            "text", "sampled", label.cast("double").alias("label"), _marked(F.col("text")).alias("grams"), F.pmod(F.xxhash64("text"), F.lit(4)).alias("fold")
         ),
         "licence-paragraphs",
     )
     train, held = rows.filter("fold > 0"), rows.filter("fold = 0")
 
-    # n-grams that speak for a licence: not numbers alone, and twice as frequent there as elsewhere.
+    # n-grams that speak for a licence: not numbers alone, twice as frequent there as elsewhere, and
+    # with a word that is rare in running text.
     none = float(classes.index(NONE))
-    sums = [F.count(F.when(F.col("label") < none, 1)).alias("lic"), F.count(F.when(F.col("label") == none, 1)).alias("rest")]
+    sums = [
+        F.count(F.when(F.col("label") < none, 1)).alias("lic"),
+        F.count(F.when(F.col("label") == none, 1)).alias("rest"),
+        F.count(F.when(F.col("sampled"), 1)).alias("plain"),
+    ]
     many = train.agg(*sums).first()
-    shares = train.select("label", F.explode("grams").alias("gram")).groupBy("gram").agg(*sums).filter("lic >= 3").collect()
-    known = {r["gram"]: r["rest"] for r in shares}
+    shares = train.select("label", "sampled", F.explode("grams").alias("gram")).groupBy("gram").agg(*sums).filter("lic >= 3").collect()
+    known = {r["gram"]: r["plain"] for r in shares}
     picked = sorted(
         gram
-        for gram, lic, rest in shares
-        if len(gram) > 1 and not gram.isdigit() and lic / many["lic"] >= 2 * rest / max(many["rest"], 1)
+        for gram, lic, rest, _ in shares
+        if len(gram) > 1
+        and lic / many["lic"] >= 2 * rest / max(many["rest"], 1)
+        and any(not w.isdigit() and len(w) > 1 and known.get(w, 0) <= RARE * many["plain"] for w in gram.split())
     )
     # Outside the training set nearly all paragraphs are no licences.
     train = train.withColumn("weight", F.when(F.col("label") == none, 10.0 * many["lic"] / max(many["rest"], 1)).otherwise(1.0))
@@ -237,7 +247,7 @@ def fit(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample
     weights = regression.coefficientMatrix.toArray()
     used = [gram for i, gram in enumerate(picked) if abs(weights[:, i]).max() > 0]
     # A paragraph with none of these words has no weighted n-gram, so only the intercepts speak: ``none``.
-    gate = {min(gram.split(), key=lambda w: (known.get(w, 0), w)) for gram in used}
+    gate = {min(gram.split(), key=lambda w: (w.isdigit() or len(w) == 1, known.get(w, 0), w)) for gram in used}
     intercepts = regression.interceptVector.toArray()
     if int(intercepts.argmax()) != classes.index(NONE):
         raise ValueError("the classifier does not call a paragraph without evidence none")
