@@ -145,6 +145,20 @@ def unit_links(unit: np.ndarray, fps: np.ndarray, pivots: np.ndarray, radius: in
     return np.concatenate([a for a, _ in links]), np.concatenate([b for _, b in links])
 
 
+def cells(rows: DataFrame, unit_rows: int) -> DataFrame:
+    """(fp, unit): the units of ``rows``; one above ``unit_rows`` rows becomes all pairs of its chunks."""
+    large = rows.groupBy("unit").agg(F.ceil(F.count("*") / unit_rows).alias("chunks")).filter("chunks > 1")
+    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    dealt = F.when(
+        F.col("chunks") > 1,
+        F.transform(
+            F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1),
+            lambda other: F.xxhash64(F.col("unit"), F.least(chunk, other), F.greatest(chunk, other)),
+        ),
+    ).otherwise(F.array("unit"))
+    return rows.join(large, "unit", "left").select("fp", F.explode(dealt).alias("unit"))
+
+
 def _filed(distinct: DataFrame, radius: int, unit_rows: int) -> DataFrame:
     """(unit, fp): every fingerprint under each choice of blocks that a link must leave equal."""
     if not 0 <= radius < BLOCKS:
@@ -159,17 +173,7 @@ def _filed(distinct: DataFrame, radius: int, unit_rows: int) -> DataFrame:
         F.xxhash64(F.lit(n), *(block(i) for i in held))
         for n, held in enumerate(combinations(range(BLOCKS), BLOCKS - radius))
     ]
-    rows = distinct.select("fp", F.explode(F.array(*filed)).alias("unit"))
-    large = rows.groupBy("unit").agg(F.ceil(F.count("*") / unit_rows).alias("chunks")).filter("chunks > 1")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks"))
-    cells = F.when(
-        F.col("chunks") > 1,
-        F.transform(
-            F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1),
-            lambda other: F.xxhash64(F.col("unit"), F.least(chunk, other), F.greatest(chunk, other)),
-        ),
-    ).otherwise(F.array("unit"))
-    return rows.join(large, "unit", "left").select("fp", F.explode(cells).alias("unit"))
+    return cells(distinct.select("fp", F.explode(F.array(*filed)).alias("unit")), unit_rows)
 
 
 def links(distinct: DataFrame, radius: int = 4, pivots: int = 16, seed: int = 7, unit_rows: int = 20_000) -> DataFrame:
