@@ -8,7 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe_count, html_tree, licences, mixing, pieces, quality, simhash, sketch, token_store, urls
+from barloom.llm import (
+    bpe_count,
+    divergence,
+    html_tree,
+    licences,
+    mixing,
+    packing,
+    pieces,
+    quality,
+    simhash,
+    sketch,
+    token_store,
+    urls,
+)
 from barloom.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +159,55 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_unknown",
         F.array_join("lines", ",").alias("lines"),
     )
+
+
+_DIVERGENCE_SQL = r"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, coalesce(text, '') as text
+  from documents
+), found as (
+  select r, lang, source, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs
+), kept as (
+  select lang, term from found group by lang, term having count(distinct r) >= 30
+), counts as (
+  select lang, source, term, count(*) as c from found join kept using (lang, term) group by lang, source, term
+), langs as (
+  select lang, count(distinct term) as v, sum(c) as n from counts group by lang
+), groups as (
+  select g.lang, g.source, coalesce(v, 0) as v, coalesce(l.n, 0) as lang_n, coalesce(t.n, 0) as n
+  from (select distinct lang, source from docs) g left join langs l using (lang)
+  left join (select lang, source, sum(c) as n from counts group by lang, source) t using (lang, source)
+), freq as (
+  select g.lang, g.source, k.term, coalesce(c, 0) as c,
+         1 + (1000000000::hugeint * (coalesce(c, 0) + 5)) // (n + 5 * v) as p,
+         1 + (1000000000::hugeint * (sum(coalesce(c, 0)) over (partition by g.lang, k.term) + 5)) // (lang_n + 5 * v) as q
+  from groups g join kept k using (lang) left join counts using (lang, source, term)
+), pairs as (
+  select a.lang, a.source, b.source as item, coalesce(d.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join (
+    select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+    from freq x join freq y on x.lang = y.lang and x.term = y.term group by all
+  ) d on d.lang = a.lang and d.source = a.source and d.item = b.source
+), listed as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all
+  select lang, source, 'term', term, p - q from freq where c > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from listed
+)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 50
+"""
+
+
+@_query("op11_source_divergence", _DIVERGENCE_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"), min_docs=30, prior=5, top=50)
+
+
+@_query("op13_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
