@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm import (
     bpe_count,
+    conversations,
     divergence,
     html_tree,
     licences,
@@ -207,6 +208,81 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(_table(spark, sf_dir, "documents"), min_docs=30, prior=5, top=50)
 
 
+_CONVERSATION_SQL = r"""
+with recursive read as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint) as key
+  from conversations
+), drawn as (
+  select *, xor(list_reduce(list_concat([4294967295::bigint], key),
+                  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))),
+                4294967295) % 20 as draw
+  from read
+), damaged as (
+  select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+         case when draw = 1 then '' when draw = 2 then translate(text, '.!?', '') else text end as text,
+         unnest(range(case when draw = 3 then 2 else 1 end)) as copy
+  from drawn where draw <> 0
+), placed as (
+  select *, translate(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '') as bare,
+         row_number() over along as pos,
+         row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again,
+         left(lag(role) over along, 1) || left(role, 1) as pair
+  from damaged window along as (partition by conv_id order by turn nulls first, role, sha256(text), copy)
+), marked as (
+  select *, case when bare = '' then 'blank' when again then 'duplicate' when right(bare, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault
+  from placed
+), counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+         count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+         count(*) filter (fault = 'truncated') as truncated,
+         count(*) filter (pair is not null and pair not in ('su', 'ua', 'au')) as illegal, count(*) as n
+  from marked group by conv_id
+), walk as (
+  select conv_id, n + 1 as pos, {'c': 0, 'a': '', 'l': []::varchar[]} as b,
+         {'c': 6, 'a': 'II', 'l': ['user:', 'assistant:']} as s, {'c': 3, 'a': 'I', 'l': ['assistant:']} as u,
+         {'c': 0, 'a': '', 'l': []::varchar[]} as a
+  from counts
+  union all
+  select conv_id, pos,
+         list_min([b0, {'c': u1.c + 3, 'a': 'I' || u1.a, 'l': list_prepend('user:', u1.l)}]),
+         list_min([s0, {'c': u1.c + 3, 'a': 'I' || u1.a, 'l': list_prepend('user:', u1.l)}]),
+         u1, list_min([a0, {'c': u0.c + 3, 'a': 'I' || u0.a, 'l': list_prepend('user:', u0.l)}])
+  from (
+    select *, list_min([u0, {'c': a0.c + 3, 'a': 'I' || a0.a, 'l': list_prepend('assistant:', a0.l)}]) as u1
+    from (
+      select conv_id, pos,
+             list_min([{'c': b.c + 4, 'a': 'D' || b.a, 'l': b.l}, case when keep and who = 's' then {'c': s.c + more, 'a': 'K' || s.a, 'l': list_prepend(line, s.l)} end,
+                       ku, ru]) as b0,
+             list_min([{'c': s.c + 4, 'a': 'D' || s.a, 'l': s.l}, ku, ru]) as s0,
+             list_min([{'c': u.c + 4, 'a': 'D' || u.a, 'l': u.l}, case when keep and who = 'a' then {'c': a.c + more, 'a': 'K' || a.a, 'l': list_prepend(line, a.l)} end,
+                       case when keep then {'c': a.c + more + 3, 'a': 'R' || a.a, 'l': list_prepend('assistant:' || text, a.l)} end]) as u0,
+             list_min([{'c': a.c + 4, 'a': 'D' || a.a, 'l': a.l}, ku, ru]) as a0
+      from (
+        select w.conv_id, m.pos, w.b, w.s, w.u, w.a, m.text, left(m.role, 1) as who, m.role || ':' || m.text as line,
+               m.fault not in ('blank', 'duplicate') as keep, case when m.fault = 'truncated' then 3 else 0 end as more,
+               case when keep and who = 'u' then {'c': w.u.c + more, 'a': 'K' || w.u.a, 'l': list_prepend(line, w.u.l)} end as ku,
+               case when keep then {'c': w.u.c + more + 3, 'a': 'R' || w.u.a, 'l': list_prepend('user:' || m.text, w.u.l)} end as ru
+        from walk w join marked m on m.conv_id is not distinct from w.conv_id and m.pos = w.pos - 1
+      )
+    )
+  )
+)
+select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate,
+       coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal, coalesce(w.b.c, 0)::bigint as cost,
+       coalesce(w.b.a, '') as audit, sha256(coalesce(array_to_string(w.b.l, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id
+left join walk w on w.conv_id is not distinct from o.conv_id and w.pos = 1
+"""
+
+
+@_query("op12_conversation_repair", _CONVERSATION_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return conversations.audited(turns, conversations.damaged(turns))
+
+
 @_query("op13_packing")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
