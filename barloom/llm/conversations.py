@@ -32,10 +32,12 @@ NAMES = {USER: "user", ASSISTANT: "assistant"}
 # The state that a user or assistant row leads to, by state before it.
 TURN = (USER, USER, ASSISTANT, USER)
 KEEP = {(BEGIN, "s"): SYSTEM, (BEGIN, "u"): USER, (SYSTEM, "u"): USER, (ASSISTANT, "u"): USER, (USER, "a"): ASSISTANT}
+KEEP |= {(state, "e"): state for state in range(4)}
 LEGAL = ("su", "ua", "au")
 NEVER = 1 << 40
 REROLE_COST, DELETE_COST, INSERT_COST, TRUNCATED_COST = 3, 4, 3, 3
-# Letters of a signature: s, u, a, o (another role); upper case where the text is truncated; x must go.
+# Letters of a signature: s, u, a, o (another role), e (an empty role, which has no initial); upper case where
+# the text is truncated; x must go.
 MUST_GO = "x"
 # Rows of one conversation that one piece of its signature covers.
 PIECE = 1_000_000
@@ -223,7 +225,7 @@ def signatures(rows: DataFrame) -> DataFrame:
                     adjacent = now[5] + role not in LEGAL
                 now[3] += adjacent + (copies - 1)
                 now[5] = role
-                letter = role if role in "sua" and role else "o"
+                letter = (role if role in "sua" else "o") or "e"
                 now[2].append((MUST_GO if gone else letter.upper() if truncated else letter) + MUST_GO * (copies - 1))
         yield from piece()
 
@@ -351,7 +353,7 @@ def repair(turns: DataFrame, rows: DataFrame | None = None) -> tuple[DataFrame,
     The audit table has one row for every conv_id of ``turns``, null included: gaps, blank,
     duplicate, truncated, illegal, cost, audit.  Rows run by turn (nulls first); rows of one
     turn by role and a digest of their text.  Roles count by their first letter; one other than
-    s, u, a, or an empty role, cannot be kept.  No rows after damage: zeros and an empty audit.
+    s, u, a cannot be kept, an empty role adds nothing to the initials and can be kept anywhere.  No rows after damage: zeros and an empty audit.
     Other columns are ignored, whatever their names; an empty table gives none.
     """
     turns = turns.select("conv_id", "turn", "role", "text")

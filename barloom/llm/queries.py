@@ -252,12 +252,12 @@ with recursive read as (
     select *, list_min([u0, {'c': a0.c + 3, 'a': 'I' || a0.a, 'l': list_prepend('assistant:', a0.l)}]) as u1
     from (
       select conv_id, pos,
-             list_min([{'c': b.c + 4, 'a': 'D' || b.a, 'l': b.l}, case when keep and who = 's' then {'c': s.c + more, 'a': 'K' || s.a, 'l': list_prepend(line, s.l)} end,
+             list_min([{'c': b.c + 4, 'a': 'D' || b.a, 'l': b.l}, case when keep and who = '' then {'c': b.c + more, 'a': 'K' || b.a, 'l': list_prepend(line, b.l)} end, case when keep and who = 's' then {'c': s.c + more, 'a': 'K' || s.a, 'l': list_prepend(line, s.l)} end,
                        ku, ru]) as b0,
-             list_min([{'c': s.c + 4, 'a': 'D' || s.a, 'l': s.l}, ku, ru]) as s0,
-             list_min([{'c': u.c + 4, 'a': 'D' || u.a, 'l': u.l}, case when keep and who = 'a' then {'c': a.c + more, 'a': 'K' || a.a, 'l': list_prepend(line, a.l)} end,
+             list_min([{'c': s.c + 4, 'a': 'D' || s.a, 'l': s.l}, case when keep and who = '' then {'c': s.c + more, 'a': 'K' || s.a, 'l': list_prepend(line, s.l)} end, ku, ru]) as s0,
+             list_min([{'c': u.c + 4, 'a': 'D' || u.a, 'l': u.l}, case when keep and who = '' then {'c': u.c + more, 'a': 'K' || u.a, 'l': list_prepend(line, u.l)} end, case when keep and who = 'a' then {'c': a.c + more, 'a': 'K' || a.a, 'l': list_prepend(line, a.l)} end,
                        case when keep then {'c': a.c + more + 3, 'a': 'R' || a.a, 'l': list_prepend('assistant:' || text, a.l)} end]) as u0,
-             list_min([{'c': a.c + 4, 'a': 'D' || a.a, 'l': a.l}, ku, ru]) as a0
+             list_min([{'c': a.c + 4, 'a': 'D' || a.a, 'l': a.l}, case when keep and who = '' then {'c': a.c + more, 'a': 'K' || a.a, 'l': list_prepend(line, a.l)} end, ku, ru]) as a0
       from (
         select w.conv_id, m.pos, w.b, w.s, w.u, w.a, m.text, left(m.role, 1) as who, m.role || ':' || m.text as line,
                m.fault not in ('blank', 'duplicate') as keep, case when m.fault = 'truncated' then 3 else 0 end as more,
