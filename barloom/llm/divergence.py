@@ -31,6 +31,8 @@ TERM_BYTES = bytes(b + 32 if chr(b) in UPPER else b if b in _KEPT else 32 for b
 
 # Distinct (source, term) entries that a task holds before it hands them on.
 ENTRIES = 500_000
+# Bytes of whole texts that a task collapses before it hands them on.
+HELD_BYTES = 32 << 20
 SOURCES_PER_BLOCK, TERMS_PER_TILE = 64, 2048
 UNIT = 1_000_000_000
 
@@ -40,17 +42,47 @@ def terms(text: bytes) -> list[bytes]:
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
-    """(lang, text, copies): each text of a language once, with (source, n) for every source that has it.
+    """(lang, text, copies): each text of a language once, with (source, n) for the sources that have it.
 
-    Copies are counted map-side before anything is shuffled, so a text that a third of all
-    rows share arrives as one row per source and map task.
+    Each task first collapses what it reads, so a text that a third of all rows share arrives as
+    a few rows per task, and whole texts are shuffled once.  A source may be listed more than once.
     """
-    counted = rows.groupBy("lang", "text", "source").agg(F.count("*").alias("n"))
-    return counted.groupBy("lang", "text").agg(F.collect_list(F.struct("source", "n")).alias("copies"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, Counter] = defaultdict(Counter)
+        size = 0
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            keys = list(held)
+            for at in range(0, len(keys), 1000):
+                part = keys[at : at + 1000]
+                copies = [[{"source": s, "n": n} for s, n in held[k].items()] for k in part]
+                columns = [pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(copies, kind)], names=["lang", "text", "copies"])
+            held.clear()
+
+        kind = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
+        for batch in batches:
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
+                held[lang, text][source] += 1
+            size += batch.column(2).nbytes
+            if size > HELD_BYTES:
+                yield from handed()
+                size = 0
+        yield from handed()
+
+    local = rows.select("lang", "source", F.col("text").cast("binary")).mapInArrow(
+        run, "lang string, text binary, copies array<struct<source string, n long>>"
+    )
+    return local.repartition("lang", "text").groupBy("lang", "text").agg(F.flatten(F.collect_list("copies")).alias("copies"))
 
 
 def term_counts(rows: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents, both counted over all copies."""
+    """(lang, source, term, n, docs, lang_n): occurrences in the source; documents and occurrences in the language.
+
+    All are counted over all copies.  A task hands on one row per source and term; rows are
+    shuffled once, by term, and every later sum is taken there.
+    """
     small_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,17 +91,20 @@ def term_counts(rows: DataFrame) -> DataFrame:
 
         def handed() -> Iterator[pa.RecordBatch]:
             for (lang, source), found in counts.items():
-                k, seen = len(found), docs[lang, source]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.repeat(pa.scalar(lang, pa.string()), k),
-                        pa.repeat(pa.scalar(source, pa.string()), k),
-                        pa.array(found.keys(), pa.binary()).cast(pa.string()),
-                        pa.array(found.values(), pa.int64()),
-                        pa.array([seen[t] for t in found], pa.int64()),
-                    ],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
+                # Neighbours in byte order share their beginnings, which compresses well.
+                names, seen = sorted(found), docs[lang, source]
+                for at in range(0, len(names), 20_000):
+                    part = names[at : at + 20_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.repeat(pa.scalar(lang, pa.string()), len(part)),
+                            pa.repeat(pa.scalar(source, pa.string()), len(part)),
+                            pa.array(part, pa.binary()).cast(pa.string()),
+                            pa.array([found[t] for t in part], pa.int64()),
+                            pa.array([seen[t] for t in part], pa.int64()),
+                        ],
+                        names=["lang", "source", "term", "n", "docs"],
+                    )
             counts.clear()
             docs.clear()
 
@@ -91,9 +126,13 @@ def term_counts(rows: DataFrame) -> DataFrame:
                 yield from handed()
         yield from handed()
 
-    once = collapsed(rows).select("lang", F.col("text").cast("binary"), "copies")
-    partial = once.mapInArrow(run, "lang string, source string, term string, n long, docs long")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    partial = collapsed(rows).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    summed = partial.repartition("lang", "term").groupBy("lang", "term", "source")
+    summed = summed.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    of_term = Window.partitionBy("lang", "term")
+    return summed.select(
+        "lang", "source", "term", "n", F.sum("docs").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("lang_n")
+    )
 
 
 def frequency(n: Column, total: Column, kept: Column, prior: int) -> Column:
@@ -184,10 +223,8 @@ def divergence(
     rows = df.select(
         *(F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text")))
     )
-    counted = materialize(term_counts(rows), "term-counts")
-    enough = counted.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-    enough = enough.filter(F.col("docs") >= min_docs).drop("docs")
-    kept = materialize(counted.join(enough, ["lang", "term"]).drop("docs"), "kept-terms")
+    kept = materialize(term_counts(rows).filter(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
+    enough = kept.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n"))
 
     # One row a source, small beside the texts.
     vocabulary = enough.groupBy("lang").agg(F.count("*").alias("V"), F.sum("lang_n").alias("lang_size"))
