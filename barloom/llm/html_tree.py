@@ -13,6 +13,7 @@ import html
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,7 +28,9 @@ ship(__name__)
 # Fixed values of HTML: elements without an end tag; with raw text; that break the line;
 # and start tags that end an open element (up to the nearest of the second set).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object xmp noembed noframes".split())
+RAW = frozenset("script style noscript template textarea title svg iframe xmp noembed noframes".split())
+# Of these, an element without an end tag does not take the rest of the page; graphics end where a block starts.
+LENIENT = frozenset("noscript template svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search "
@@ -45,16 +48,22 @@ ENDS_ITSELF = {
 # A paragraph ends where a block starts; it cannot be reopened through these.
 SHIELDS = frozenset("html body table td th caption button object".split())
 
-TOKEN = re.compile(
+# What a page is made of besides tags with a name; a tag's end is found apart.
+OPENING = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)")
+ATTRIBUTES = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+OTHER = re.compile(
     r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
     r"|<[!?/][^>]*>?|<[a-zA-Z][^<>]*\Z"
     r"|[^<]+|<",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# References to numbers beyond all characters.
+BEYOND = re.compile(r"&#(?:0*[1-9][0-9]{7,}|[xX]0*[1-9a-fA-F][0-9a-fA-F]{7,});?")
 NAME_PART = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+BLOCK_START = re.compile(rf"<(?:{'|'.join(sorted(BLOCK - {'title'}))})(?=[\s/>])", re.I)
 # Attributes whose words tell what an element is for.
 TELLING = ("class", "id", "role", "aria-label", "itemprop", "hidden")
 #: Marks the main element of a labelled page ("1") and what is not main inside it ("0").
@@ -78,64 +87,114 @@ class Tree:
         return len(self.tag) - 1
 
 
+class TagEnds:
+    """Where tags end: at the first ``>`` outside quotes or, if all that follow are quoted, at the first one.
+
+    A tag whose quotes never close would be read to the end of the page, and so would the next
+    ones; the first such tag makes a table of all ends, from the back, that answers the others.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.at: list[int] | None = None
+        self.ends: list[int] = []
+
+    def after(self, start: int) -> int:
+        """The position behind the tag whose attributes begin at ``start``; -1 if no ``>`` follows."""
+        if start > self.last:
+            return -1
+        if self.at is None:
+            if found := ATTRIBUTES.match(self.page, start):
+                return found.end()
+            self._list(start)
+        i = bisect_left(self.at, start)
+        end = self.ends[i] if i < len(self.at) else -1
+        return end if end >= 0 else self.page.index(">", start) + 1
+
+    def _list(self, start: int) -> None:
+        marks = [(m.start(), m[0]) for m in re.finditer("[>\"']", self.page[start:])]
+        self.at, self.ends = [start + i for i, _ in marks], [-1] * len(marks)
+        follows: dict[str, int] = {}
+        for i in range(len(marks) - 1, -1, -1):
+            kind = marks[i][1]
+            if kind == ">":
+                self.ends[i] = self.at[i] + 1
+            elif (close := follows.get(kind, len(marks))) + 1 < len(marks):
+                self.ends[i] = self.ends[close + 1]
+            follows[kind] = i
+
+
 def parse(page: str) -> Tree:
-    """A DOM tree of any text: unclosed, misnested and broken tags never fail."""
+    """A DOM tree of any text, in time linear in its length: unclosed, misnested and broken tags never fail."""
     tree = Tree()
     stack = [tree.add(-1, "#root")]
-    # How many open elements have a tag, so that stray end tags cost nothing.
-    is_open: dict[str, int] = {}
-    at = 0
+    # Where on the stack the open elements of a tag are.
+    open_at: dict[str, list[int]] = {}
+    tag_ends, seen = TagEnds(page), {}
+    at, run, run_at = 0, [], 0
 
-    def close(down_to: int) -> None:
-        while len(stack) > down_to:
-            is_open[tree.tag[stack.pop()]] -= 1
+    def following(what: re.Pattern, start: int) -> tuple[int, int]:
+        """Where ``what`` is found next; looked for once between two finds.  The end of the page if nowhere."""
+        if seen.get(what, (-1, -1))[0] < start:
+            found = what.search(page, start)
+            seen[what] = found.span() if found else (len(page), len(page))
+        return seen[what]
+
+    def nearest(tags) -> int:
+        return max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
 
     def close_nearest(tags, stops) -> None:
-        if not any(is_open.get(t) for t in tags):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if tree.tag[stack[i]] in tags:
-                close(i)
-                return
-            if tree.tag[stack[i]] in stops:
-                return
+        found = nearest(tags)
+        if found > nearest(stops):
+            while len(stack) > found:
+                open_at[tree.tag[stack.pop()]].pop()
 
     while at < len(page):
-        found = TOKEN.match(page, at)
-        at = found.end()
-        tag = found["tag"]
-        if tag is None:
-            piece = found[0]
+        found = OPENING.match(page, at)
+        end = tag_ends.after(found.end()) if found else -1
+        if end < 0:
+            piece = OTHER.match(page, at)[0]
+            at += len(piece)
             if piece[0] != "<" or piece == "<":
-                if tree.parent[-1] == stack[-1] and tree.tag[-1] is None:
-                    tree.text[-1] += piece
-                else:
-                    tree.add(stack[-1], None, text=piece)
+                if tree.parent[-1] != stack[-1] or tree.tag[-1] is not None:
+                    tree.text[run_at] = "".join(run)
+                    run, run_at = [], tree.add(stack[-1], None)
+                run.append(piece)
             continue
-        tag = tag.lower()
+        tag, attrs, at = found["tag"].lower(), page[found.end() : end - 1], end
         if found["end"]:
-            if is_open.get(tag):
-                close_nearest({tag}, ())
+            close_nearest({tag}, ())
             continue
         if tag in BLOCK:
             close_nearest({"p"}, SHIELDS)
         if tag in ENDS_ITSELF:
             close_nearest(*ENDS_ITSELF[tag])
-        attrs = found["attrs"]
         node = tree.add(stack[-1], tag, attrs)
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "math"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            starts, ends = following(RAW_END[tag], at)
+            block = following(BLOCK_START, at)[0] if tag == "svg" else len(page)
+            if block < starts:
+                at = block
+            elif starts < len(page):
+                at = ends
+            elif tag not in LENIENT:
+                at = len(page)
             continue
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        is_open[tag] = is_open.get(tag, 0) + 1
+    tree.text[run_at] = "".join(run)
     return tree
 
 
+def unescape(text: str) -> str:
+    """Decode character references; numbers beyond all characters give the replacement character."""
+    return html.unescape(BEYOND.sub("\ufffd", text)) if "&" in text else text
+
+
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
+    return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)}
 
 
 def features(tree: Tree, i: int, in_link: bool) -> list[str]:
@@ -293,7 +352,7 @@ def _gaps(pages: DataFrame, model: Model) -> tuple[dict[str, float], int]:
 
 
 def main_text(page: str | None, model: Model) -> str:
-    """The content blocks in page order, joined by line breaks; empty if there are none.
+    """The content blocks in page order, joined by two line feeds; empty if there are none.
 
     References are decoded and white space inside a block becomes one space.
     """
@@ -321,8 +380,8 @@ def main_text(page: str | None, model: Model) -> str:
             now, last = [], (home[i], breaks)
         now.append(tree.text[i])
     blocks.append(now)
-    texts = (SPACE.sub(" ", html.unescape("".join(b))).strip() for b in blocks)
-    return "\n".join(t for t in texts if t)
+    texts = (SPACE.sub(" ", unescape("".join(b))).strip() for b in blocks)
+    return "\n\n".join(t for t in texts if t)
 
 
 def extract(
@@ -392,8 +451,17 @@ def _author(rng: random.Random) -> str:
             parts[rng.randrange(len(parts))] = f'<{(t := rng.choice(("b", "i", "em", "strong")))}>{sentence(1, 5)}</{t}>'
         if rng.random() < 0.15:
             parts.append(f'<a href="/{word()}">{words(1, 4)}</a> {sentence(1, 6)}')
+        if rng.random() < 0.2:
+            parts.append(f"{words(1, 6)} {inline()} {sentence(1, 6)}")
         return " ".join(parts)
 
+    def inline() -> str:
+        kind = rng.choice(("math", "sub", "sup", "code", "span", "abbr", "time", "q", "cite", "object", "kbd", "small"))
+        if kind == "math":
+            signs = "".join(f"<{(t := rng.choice(('mi', 'mo', 'mn')))}>{rng.choice('abcxyz=+123')}</{t}>" for _ in range(rng.randint(2, 7)))
+            return f"<math>{f'<mrow>{signs}</mrow>' if rng.random() < 0.5 else signs}</math>"
+        return f"<{kind}>{rng.choice((word(), words(1, 6), str(rng.randint(1, 2000))))}</{kind}>"
+
     def attr(names: list[str], chance: float = 0.75) -> str:
         if rng.random() > chance:
             return ""
