@@ -1,9 +1,12 @@
 """Licence statements found by a trained paragraph classifier, as DataFrame functions and Spark ML only.
 
 Each line of a text is a paragraph.  A multinomial logistic regression over sparse word
-n-grams gives it a licence family, ``other`` (a licence of no known family) or ``none``.  On held-out
-paragraphs probabilities are calibrated by one temperature, and a threshold is set below
-which a licence counts as unknown.  A family must also be confirmed by comparison with its templates.
+n-grams gives it a licence family, ``other`` (a licence of no known family) or ``none``.  Names, leads and
+sentences that a first model has never seen calibrate it: one temperature for its
+probabilities, and a threshold below which a licence counts as unknown; the model is then
+fitted on all of them.  A family must also be confirmed by comparison with its templates.
+
+Only lines with an n-gram that has a weight are scored; without one the intercepts say ``none``.
 """
 
 from __future__ import annotations
@@ -103,14 +106,15 @@ NONE, OTHER, UNKNOWN = "none", "other", "unknown"
 
 @dataclass(frozen=True)
 class Detector:
-    """A fitted classifier: vocabulary, regression, class names, calibration and the words that open the gate."""
+    """A fitted classifier: vocabulary, regression, class names, calibration, the weighted n-grams and a word of each."""
 
     vectors: CountVectorizerModel
     regression: LogisticRegressionModel
     classes: tuple[str, ...]
     temperature: float
     threshold: float
-    gate: tuple[str, ...]
+    grams: tuple[str, ...]
+    words: tuple[str, ...]
 
 
 def tokens(text: Column) -> Column:
@@ -129,37 +133,49 @@ def grams(toks: Column, *sizes: int) -> Column:
     return bind(toks, lambda t: F.array_distinct(F.concat(*(of(t, n) for n in sizes))))
 
 
-def authored(spark: SparkSession, per_lead: int = 6, seed: int = 3) -> DataFrame:
-    """Labelled paragraphs (text, family) made from the fixed names and sentences; the same on every run.
+def authored(spark: SparkSession, filler: list[str], per_lead: int = 6, seed: int = 3) -> DataFrame:
+    """Labelled paragraphs (text, family, unseen) made from the fixed names and sentences; the same on every run.
 
-    ``other`` has notices of licences with made-up names.
+    ``filler``: words to put around notices, from the texts that will be searched.  ``other`` has
+    notices of licences with made-up names.  ``unseen`` marks rows with the last name, lead or
+    sentence of their kind, which a model for calibration must not be fitted on.
     """
     rng = random.Random(seed)
 
-    def filler(low: int, high: int) -> str:
-        return " ".join("".join(rng.choice("aeionrstlhd") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(low, high)))
+    def around(low: int, high: int) -> str:
+        return " ".join(rng.choice(filler) for _ in range(rng.randint(low, high))) if filler else ""
+
+    def made() -> str:
+        return "".join(rng.choice("bcdfglmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(3, 5))).title()
+
+    def last(items: list[str], item: str, kept: int = 2) -> bool:
+        return len(items) > kept and items.index(item) >= len(items) - max(1, len(items) // 4)
 
     rows = []
     for family, names in NAMES.items():
         for lead in LEADS:
             for name in names:
-                text = lead.format(name)
-                rows.append((text + rng.choice((".", "", ".")), family))
-                rows.append((rng.choice((f"{filler(1, 8)}. {text}.", f"{text}. {filler(1, 8)}", f"Copyright {rng.randint(1990, 2030)} {filler(1, 3)}. {text}")), family))
-        for sentence in SENTENCES.get(family, []):
+                text, unseen = lead.format(name), last(names, name) or last(LEADS, lead)
+                rows.append((text + rng.choice((".", "", ".")), family, unseen))
+                wrapped = (f"{around(1, 8)}. {text}.", f"{text}. {around(1, 8)}", f"Copyright {rng.randint(1990, 2030)} {around(1, 3)}. {text}")
+                rows.append((rng.choice(wrapped), family, unseen))
+        sentences = SENTENCES.get(family, [])
+        for sentence in sentences:
             words = sentence.split()
             for _ in range(per_lead * 3):
                 at = rng.randint(0, max(0, len(words) - 7))
                 cut = words[at : at + rng.randint(6, len(words))] if rng.random() < 0.5 else words
-                rows.append((" ".join(cut), family))
+                rows.append((" ".join(cut), family, last(sentences, sentence)))
     for lead in LEADS:
         for _ in range(per_lead * 8):
-            made = filler(1, 2).title()
-            rows.append((lead.format(rng.choice((f"{made} License", f"{made} Public License {rng.randint(1, 4)}.0", f"{made}-{rng.randint(1, 3)}.0", f"{made} Open License"))), OTHER))
+            name = " ".join(made() for _ in range(rng.randint(1, 2)))
+            kinds = (f"{name} License", f"{name} Public License {rng.randint(1, 4)}.0", f"{name}-{rng.randint(1, 3)}.0", f"{name} Open License")
+            rows.append((lead.format(rng.choice(kinds)), OTHER, last(LEADS, lead)))
     for sentence in ELSEWHERE:
         for _ in range(per_lead * 4):
-            rows.append((rng.choice((f"{filler(0, 6)} {sentence}", f"{sentence} {filler(0, 6)}", sentence)), NONE))
-    return spark.createDataFrame(rows, "text string, family string")
+            text = rng.choice((f"{around(0, 6)} {sentence}", f"{sentence} {around(0, 6)}", sentence))
+            rows.append((text, NONE, last(ELSEWHERE, sentence)))
+    return spark.createDataFrame(rows, "text string, family string, unseen boolean")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -188,89 +204,100 @@ def _marked(text: Column) -> Column:
     return grams(tokens(text), 1, 2, 3)
 
 
-def fit(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, seed: int = 3) -> Detector:
-    """Train and calibrate on authored paragraphs and at most ``sample`` lines of ``texts``.
-
-    The sample takes the lines with the smallest hashes of id and line number; they count as ``none``,
-    except those with a word that only licence paragraphs have.  A quarter of all, by hash, is held out.
-    """
-    spark = texts.sparkSession
+def _sampled(texts: DataFrame, id_col: str, text_col: str, sample: int, seed: int) -> list[str]:
+    """About ``sample`` of all lines, those whose hash of id and line number is low enough for their count."""
+    breaks = F.length(F.col(text_col)) - F.length(F.translate(F.col(text_col), "\n", "")) + 1
+    count = texts.agg(F.sum(breaks).alias("n")).first()["n"] or 1
     lines = texts.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "text"))
-    plain = (
-        lines.filter(F.length("text") > 0)
-        .select("text", F.xxhash64(F.lit(seed), "id", "at").alias("draw"))
-        .orderBy("draw", "text")
-        .limit(sample)
-        .select("text", F.lit(NONE).alias("family"), F.lit(True).alias("sampled"))
-    )
-    telling = r"(?i)licen[cs]e|copyright|\bspdx\b|public domain|\bwarranty\b"
-    made = authored(spark, seed=seed).withColumn("sampled", F.lit(False))
-    rows = made.unionByName(plain.filter(~F.col("text").rlike(telling))).distinct()
-    classes = (*sorted(NAMES), OTHER, NONE)
-    label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
-    rows = materialize(
-        rows.select(
-            "text", "sampled", label.cast("double").alias("label"), _marked(F.col("text")).alias("grams"), F.pmod(F.xxhash64("text"), F.lit(4)).alias("fold")
-        ),
-        "licence-paragraphs",
-    )
-    train, held = rows.filter("fold > 0"), rows.filter("fold = 0")
+    low = min(2**63 - 1, int(-(2**63) + sample / count * 2**64))
+    drawn = lines.filter((F.xxhash64(F.lit(seed), "id", "at") <= low) & (F.length("text") > 0)).select("text")
+    return sorted(r["text"] for r in drawn.collect())
 
-    # n-grams that speak for a licence: not numbers alone, and twice as frequent there as elsewhere.
-    none = float(classes.index(NONE))
+
+def _picked(rows: DataFrame, none: float) -> tuple[list[str], dict[str, int], float]:
+    """n-grams that speak for a licence (not numbers alone, twice as frequent there), their counts in plain lines, weight of ``none``."""
     sums = [
         F.count(F.when(F.col("label") < none, 1)).alias("lic"),
         F.count(F.when(F.col("label") == none, 1)).alias("rest"),
         F.count(F.when(F.col("sampled"), 1)).alias("plain"),
     ]
-    many = train.agg(*sums).first()
-    shares = train.select("label", "sampled", F.explode("grams").alias("gram")).groupBy("gram").agg(*sums).filter("lic >= 3").collect()
-    known = {r["gram"]: r["plain"] for r in shares}
+    many = rows.agg(*sums).first()
+    shares = rows.select("label", "sampled", F.explode("grams").alias("gram")).groupBy("gram").agg(*sums).filter("lic >= 3").collect()
     picked = sorted(
         gram
         for gram, lic, rest, _ in shares
         if len(gram) > 1 and not gram.isdigit() and lic / many["lic"] >= 2 * rest / max(many["rest"], 1)
     )
     # Outside the training set nearly all paragraphs are no licences.
-    train = train.withColumn("weight", F.when(F.col("label") == none, 10.0 * many["lic"] / max(many["rest"], 1)).otherwise(1.0))
-    vectors = CountVectorizerModel.from_vocabulary(picked, inputCol="grams", outputCol="features")
-    vectors = vectors.setBinary(True)
-    regression = LogisticRegression(
+    return picked, {r["gram"]: r["plain"] for r in shares}, 10.0 * many["lic"] / max(many["rest"], 1)
+
+
+def _trained(rows: DataFrame, picked: list[str], none: float, weight: float) -> tuple[CountVectorizerModel, LogisticRegressionModel]:
+    weighted = rows.withColumn("weight", F.when(F.col("label") == none, weight).otherwise(1.0)).coalesce(2)
+    vectors = CountVectorizerModel.from_vocabulary(picked, inputCol="grams", outputCol="features").setBinary(True)
+    learner = LogisticRegression(
         family="multinomial", regParam=2e-5, elasticNetParam=1.0, maxIter=80, standardization=False, weightCol="weight"
-    ).fit(vectors.transform(train))
+    )
+    return vectors, learner.fit(vectors.transform(weighted)).setProbabilityCol("").setPredictionCol("")
 
-    weights = regression.coefficientMatrix.toArray()
-    used = [gram for i, gram in enumerate(picked) if abs(weights[:, i]).max() > 0]
-    # A paragraph with none of these words has no weighted n-gram, so only the intercepts speak: ``none``.
-    gate = {min(gram.split(), key=lambda w: (w.isdigit() or len(w) == 1, known.get(w, 0), w)) for gram in used}
-    intercepts = regression.interceptVector.toArray()
-    if int(intercepts.argmax()) != classes.index(NONE):
-        raise ValueError("the classifier does not call a paragraph without evidence none")
 
-    scored = regression.transform(vectors.transform(held)).select("label", vector_to_array("rawPrediction").alias("raw"))
+def fit(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, seed: int = 3) -> Detector:
+    """Train and calibrate on authored paragraphs and about ``sample`` lines drawn from ``texts``.
+
+    The drawn lines count as ``none``, except those with a word that only licence paragraphs have.  For the
+    calibration a first model is fitted without the names, leads and sentences marked unseen and
+    without a quarter of the drawn lines; these calibrate it.  The model returned is fitted on all rows.
+    """
+    spark = texts.sparkSession
+    telling = r"(?i)licen[cs]e|copyright|\bspdx\b|public domain|\bwarranty\b"
+    drawn = spark.createDataFrame([(t,) for t in _sampled(texts, id_col, text_col, sample, seed)], "text string")
+    drawn = drawn.filter(~F.col("text").rlike(telling))
+    filler = sorted(r[0] for r in drawn.select(F.explode(tokens(F.col("text")))).distinct().collect())
+    made = authored(spark, filler, seed=seed).withColumn("sampled", F.lit(False))
+    plain = drawn.select("text", F.lit(NONE).alias("family"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("unseen"), F.lit(True).alias("sampled"))
+    classes = (*sorted(NAMES), OTHER, NONE)
+    label = F.array_position(F.array(*map(F.lit, classes)), F.col("family")) - 1
+    rows = materialize(
+        made.unionByName(plain).distinct().select("text", "unseen", "sampled", label.cast("double").alias("label"), _marked(F.col("text")).alias("grams")),
+        "licence-paragraphs",
+    )
+    none = float(classes.index(NONE))
+    seen = rows.filter("not unseen")
+    picked, _, weight = _picked(seen, none)
+    vectors, first = _trained(seen, picked, none, weight)
+    scored = first.transform(vectors.transform(rows.filter("unseen"))).select("label", vector_to_array("rawPrediction").alias("raw"))
     scored = materialize(scored, "licence-held-out")
-    steps = [0.5 + 0.1 * k for k in range(26)]
-    losses = scored.agg(
-        *(F.avg(-F.log(F.greatest(F.get(_softmax(F.col("raw"), t), F.col("label").cast("int")), F.lit(1e-12)))).alias(f"at{k}") for k, t in enumerate(steps))
-    ).first()
+    steps = [0.5 + 0.1 * k for k in range(46)]
+    own = F.col("label").cast("int")
+    loss = (F.avg(-F.log(F.greatest(_share(F.col("raw"), t, lambda r: F.get(r, own)), F.lit(1e-12)))) for t in steps)
+    losses = scored.agg(*(x.alias(f"at{k}") for k, x in enumerate(loss))).first()
     temperature = steps[min(range(len(steps)), key=lambda k: losses[k])]
-    threshold = _threshold(scored.select("label", _softmax(F.col("raw"), temperature).alias("p")), len(NAMES))
-    return Detector(vectors, regression, classes, temperature, threshold, tuple(sorted(gate)))
+    best = bind(F.col("raw"), lambda r: F.struct((F.array_position(r, F.array_max(r)) - 1).alias("said"), _share(r, temperature, F.array_max).alias("p")))
+    threshold = _threshold(scored.select("label", F.inline(F.array(best))), len(NAMES))
+
+    picked, known, weight = _picked(rows, none)
+    vectors, regression = _trained(rows, picked, none, weight)
+    weights, intercepts = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
+    if int(intercepts.argmax()) != classes.index(NONE):
+        raise ValueError("the classifier does not call a paragraph without evidence none")
+    used = [gram for i, gram in enumerate(picked) if abs(weights[:, i]).max() > 0]
+    words = {min(gram.split(), key=lambda w: (w.isdigit() or len(w) == 1, known.get(w, 0), w)) for gram in used}
+    return Detector(vectors, regression, classes, temperature, threshold, tuple(used), tuple(sorted(words)))
 
 
-def _softmax(raw: Column, temperature: float) -> Column:
-    top = F.array_max(raw)
-    parts = F.transform(raw, lambda x: F.exp((x - top) / temperature))
-    return bind(parts, lambda p: F.transform(p, lambda x: x / F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))
+def _share(raw: Column, temperature: float, of) -> Column:
+    """The probability of the class whose score ``of`` picks."""
+    return bind(
+        raw, lambda r: bind(of(r), lambda own: 1 / F.aggregate(r, F.lit(0.0), lambda a, x: a + F.exp((x - own) / temperature)))
+    )
 
 
 def _threshold(scored: DataFrame, families: int, wrong: float = 0.01) -> float:
-    """The lowest probability from which at most ``wrong`` of the held-out family predictions are wrong."""
-    best = F.array_max("p")
-    rows = scored.select("label", best.alias("best"), (F.array_position("p", best) - 1).alias("said")).filter(F.col("said") < families)
+    """The lowest probability from which at most ``wrong`` of the held-out family predictions (said, p) are wrong."""
+    rows = scored.filter(F.col("said") < families)
     steps = [0.30 + 0.01 * k for k in range(70)]
-    bad = [F.count(F.when((F.col("best") >= t) & (F.col("said") != F.col("label")), 1)) for t in steps]
-    taken = [F.count(F.when(F.col("best") >= t, 1)) for t in steps]
+    bad = [F.count(F.when((F.col("p") >= t) & (F.col("said") != F.col("label")), 1)) for t in steps]
+    taken = [F.count(F.when(F.col("p") >= t, 1)) for t in steps]
     got = rows.agg(*bad, *taken).first()
     for k, t in enumerate(steps):
         if got[k] <= wrong * got[len(steps) + k]:
@@ -282,33 +309,43 @@ def paragraphs(df: DataFrame, detector: Detector, text_col: str = "text", confir
     """All columns of ``df`` but the text, and one row per licence paragraph.
 
     Adds ``line`` (0-based), ``licence`` (family or ``unknown``), ``said`` (the classifier's word),
-    ``probability`` and ``likeness``.  A family below the threshold or unlike its templates is ``unknown``.
+    ``probability`` and ``likeness``, in place of columns of these names.  A family below the threshold or
+    unlike its templates is ``unknown``.
+
+    What is computed for a line is generated, not projected: filters are not moved below a
+    generator, so no expression is evaluated again on either side of one.
     """
-    spark = df.sparkSession
-    opens = F.array(*map(F.lit, detector.gate))
-    kept = [c for c in df.columns if c != text_col]
-    lines = (
-        df.filter(F.arrays_overlap(tokens(F.coalesce(F.col(text_col), F.lit(""))), opens))
-        .select(*kept, F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "__text"))
-        .withColumn("__tokens", tokens(F.col("__text")))
-        .filter(F.arrays_overlap("__tokens", opens))
-        .withColumn("grams", grams(F.col("__tokens"), 1, 2, 3))
+    added = ("line", "licence", "said", "probability", "likeness")
+    kept = [c for c in df.columns if c != text_col and c not in added]
+    row = F.struct(*(F.col(c) for c in kept)) if kept else F.struct(F.lit(0).alias("__none"))
+    opens = F.array(*map(F.lit, detector.words))
+
+    def once(value: Column, name: str) -> Column:
+        return F.inline(F.array(F.struct(value.alias(name))))
+
+    split = F.transform(F.split(F.col(text_col), "\n"), tokens)
+    lines = df.select(row.alias("__row"), F.posexplode(split).alias("__line", "__tokens"))
+    lines = lines.filter(F.arrays_overlap("__tokens", opens))
+    lines = lines.select("__row", "__line", "__tokens", once(grams(F.col("__tokens"), 1, 2, 3), "grams"))
+    lines = lines.filter(F.exists("grams", lambda g: g.isin(*detector.grams)))
+    scored = detector.regression.transform(detector.vectors.transform(lines))
+    names = F.array(*map(F.lit, detector.classes))
+    judged = bind(
+        vector_to_array("rawPrediction"),
+        lambda r: F.struct(
+            F.get(names, (F.array_position(r, F.array_max(r)) - 1).cast("int")).alias("__said"),
+            _share(r, detector.temperature, F.array_max).alias("__probability"),
+        ),
     )
-    raw = detector.regression.transform(detector.vectors.transform(lines))
-    p = _softmax(vector_to_array("rawPrediction"), detector.temperature)
-    best = F.array_max("__p")
-    said = F.get(F.array(*map(F.lit, detector.classes)), (F.array_position("__p", best) - 1).cast("int"))
-    found = (
-        raw.withColumn("__p", p)
-        .withColumn("said", said)
-        .withColumn("probability", best)
-        .filter(F.col("said") != NONE)
-        .join(templates(spark).withColumnRenamed("family", "__family"), F.col("said") == F.col("__family"), "left")
-        .withColumn("likeness", F.coalesce(likeness(F.col("__tokens"), F.col("shapes")), F.lit(0.0)))
+    found = scored.select("__row", "__line", "__tokens", F.inline(F.array(judged))).filter(F.col("__said") != NONE)
+    shapes = templates(df.sparkSession)
+    found = found.join(shapes, F.col("__said") == F.col("family"), "left").select(
+        "__row", "__line", "__said", "__probability", once(F.coalesce(likeness(F.col("__tokens"), F.col("shapes")), F.lit(0.0)), "__likeness")
     )
-    sure = (F.col("said") != OTHER) & (F.col("probability") >= detector.threshold) & (F.col("likeness") >= confirm)
-    licence = F.when(sure, F.col("said")).otherwise(UNKNOWN)
-    return found.select(*kept, "line", licence.alias("licence"), "said", "probability", "likeness")
+    sure = (F.col("__said") != OTHER) & (F.col("__probability") >= detector.threshold) & (F.col("__likeness") >= confirm)
+    licence = F.when(sure, F.col("__said")).otherwise(UNKNOWN)
+    values = (F.col("__line"), licence, F.col("__said"), F.col("__probability"), F.col("__likeness"))
+    return found.select(*(F.col("__row")[c].alias(c) for c in kept), *(v.alias(n) for v, n in zip(values, added)))
 
 
 def scan(df: DataFrame, detector: Detector | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

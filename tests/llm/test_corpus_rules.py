@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from barloom.llm import html_tree, licences, mixing, quality
+from barloom.llm import html_tree, mixing, quality
 from test_jaccard import expected
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -308,59 +308,6 @@ def test_tag_ends_by_table_equal_those_by_scan():
             assert table.after(at) == html_tree.TagEnds(page).after(at)
 
 
-# --- licences --------------------------------------------------------------------------
-
-
-@pytest.fixture(scope="module")
-def detector(spark):
-    return licences.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
-
-
-def test_licence_held_out_accuracy(spark, detector):
-    rows = licences.authored(spark, seed=99).distinct().filter("family not in ('none', 'other')").select("text", "family", F.monotonically_increasing_id().alias("i"))
-    found = licences.paragraphs(rows.select("i", "family", "text"), detector)
-    right = found.filter("licence = family").count()
-    wrong = found.filter("licence != family and licence != 'unknown'").count()
-    total = rows.count()
-    assert right / total > 0.85 and wrong / total < 0.02
-
-
-def test_scan(spark, detector):
-    plain = "Nothing of the kind stands here, only prose about the sea and the hills."
-    rows = [
-        (1, f"{plain}\nReleased under the MIT License.\n{plain}", "c"),
-        (2, "Licensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.", "c"),
-        (3, plain, "c"),
-        (4, None, "c"),
-        (5, "", "c"),
-        (None, "This work is licensed under the GNU General Public License, version 3.", "c"),
-        (6, f"{plain}\nLicensed under the Foo Barbaz License.", "c"),
-        (7, "She lost her driving license at MIT.", "c"),
-        (1, f"{plain}\nReleased under the MIT License.\n{plain}", "c"),
-        (8, ("word " * 50 + "\n") * 3000 + "Released under the MIT License.", "c"),
-    ]
-    df = spark.createDataFrame(rows, "doc_id long, text string, licences string")
-    got = [(r.doc_id, r.licences, r.n_unknown, r.lines) for r in licences.scan(df, detector).collect()]
-    assert sorted(map(str, got)) == sorted(
-        map(
-            str,
-            [
-                (1, ["mit"], 0, [1]),
-                (1, ["mit"], 0, [1]),
-                (2, ["apache", "cc-by-nc"], 0, [0, 1]),
-                (3, [], 0, []),
-                (4, [], 0, []),
-                (5, [], 0, []),
-                (None, ["gpl"], 0, [0]),
-                (6, [], 1, [1]),
-                (7, [], 0, []),
-                (8, ["mit"], 0, [3000]),
-            ],
-        )
-    )
-    assert licences.scan(df.limit(0), detector).count() == 0
-
-
 # --- pipeline --------------------------------------------------------------------------
 
 
@@ -389,5 +336,5 @@ def test_pipeline_stages(spark):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert "pipeline" in names
