@@ -16,6 +16,7 @@ MODULES = (
     "q_panels",
     "q_sources",
     "q_models",
+    "q_time",
 )
 
 

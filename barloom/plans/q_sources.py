@@ -233,10 +233,13 @@ def filled_store(spark, sf_dir) -> FeatureStore:
     return store
 
 
-_VEC = "SELECT CAST(ticker AS VARCHAR) AS ticker, date, CAST(horizon AS INTEGER) AS horizon, round(CASE WHEN horizon = 5 THEN -a ELSE a END, 6) AS v0, round(b, 6) AS v1, label FROM st"
+VEC_SQL = "SELECT CAST(ticker AS VARCHAR) AS ticker, date, CAST(horizon AS INTEGER) AS horizon, round(CASE WHEN horizon = 5 THEN -a ELSE a END, 6) AS v0, round(b, 6) AS v1, label FROM st"
 
 
-def _vec(df):
+STORE_SQL = f"WITH {WIDE}, {_STF}"
+
+
+def vector_columns(df):
     v = F.col("vec")
     return df.select(
         "ticker", "date", F.col("horizon").cast("int").alias("horizon"), F.round(v[0], 6).alias("v0"),
@@ -244,17 +247,17 @@ def _vec(df):
     )
 
 
-@query("s14_store_upsert", f"WITH {WIDE}, {_STF} {_VEC}")
+@query("s14_store_upsert", f"WITH {WIDE}, {_STF} {VEC_SQL}")
 def s14(spark, sf_dir):
-    return _vec(filled_store(spark, sf_dir).current())
+    return vector_columns(filled_store(spark, sf_dir).current())
 
 
 @query(
     "s15_store_range",
-    f"WITH {WIDE}, {_STF} {_VEC} WHERE horizon = 5 AND label IS NOT NULL AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01'",
+    f"WITH {WIDE}, {_STF} {VEC_SQL} WHERE horizon = 5 AND label IS NOT NULL AND date >= DATE '1996-01-01' AND date < DATE '1998-01-01'",
 )
 def s15(spark, sf_dir):
-    return _vec(filled_store(spark, sf_dir).load_range(5, "1996-01-01", "1998-01-01"))
+    return vector_columns(filled_store(spark, sf_dir).load_range(5, "1996-01-01", "1998-01-01"))
 
 
 @query(
