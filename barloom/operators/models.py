@@ -6,13 +6,15 @@ a distributed fit.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 import numpy as np
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -23,17 +25,22 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics as M
 from barloom.operators.blocks import date_positions
-from barloom.operators.cleaning import fit_scaler, standardize
+from barloom.operators.cleaning import EPS, fit_scaler, standardize
 from barloom.operators.infotheory import mutual_information, names, top_by_information
 from barloom.operators.metrics import roc_auc
-from barloom.operators.splits import positional_split, purged_holdout, with_roles
-from barloom.session import materialize
+from barloom.operators.splits import positional_split, with_roles
+from barloom.session import materialize, scratch_path
+from barloom.sources import files
 
 VEC = "features_vec"
 
@@ -116,8 +123,8 @@ def rolling_ridge(
 
 
 def logistic(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0, weight: str | None = None) -> Model:
-    """Logistic regression with C = 1 / alpha."""
-    n = df.count()
+    """Logistic regression with C = 1 / alpha; with weights their sum stands for the number of rows."""
+    n = df.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
     est = LogisticRegression(
         featuresCol=VEC, labelCol=y, regParam=max(alpha, 1e-8) / n, elasticNetParam=0.0, standardization=False,
         maxIter=500, tol=1e-10,
@@ -125,6 +132,11 @@ def logistic(df: DataFrame, features: Sequence[str], y: str, alpha: float = 1.0,
     return (est.setWeightCol(weight) if weight else est).fit(assembled(df, features))
 
 
+def balanced_logistic(df: DataFrame, features: Sequence[str], y: str, c: float = 0.1) -> Model:
+    """Logistic regression in which both classes weigh the same, with inverse penalty ``c``."""
+    return logistic(balanced_weights(df, y, "__w"), features, y, 1.0 / c, "__w")
+
+
 def balanced_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     """n / (classes * rows of the class)."""
     counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("__c"))
@@ -133,7 +145,14 @@ def balanced_weights(df: DataFrame, y: str, out: str = "weight") -> DataFrame:
     return df.join(table, y)
 
 
-def coefficients(model: Model, features: Sequence[str], df: DataFrame) -> DataFrame:
+def importance_table(model: Model, features: Sequence[str], spark: SparkSession) -> DataFrame:
+    """``coefficients``, or no rows for a family that has none (naive Bayes, perceptron)."""
+    if not any(hasattr(model, a) for a in ("coefficientMatrix", "coefficients", "featureImportances")):
+        return spark.createDataFrame([], "feature string, value double")
+    return coefficients(model, features, spark)
+
+
+def coefficients(model: Model, features: Sequence[str], df: DataFrame | SparkSession) -> DataFrame:
     """feature, value: signed for regressions, mean size over classes for classifiers."""
     if hasattr(model, "coefficientMatrix"):
         m = abs(model.coefficientMatrix.toArray()).mean(axis=0)
@@ -142,7 +161,8 @@ def coefficients(model: Model, features: Sequence[str], df: DataFrame) -> DataFr
     else:
         m = model.featureImportances.toArray()
     rows = [(f, float(v)) for f, v in zip(features, m)]
-    return df.sparkSession.createDataFrame(rows, "feature string, value double")
+    spark = df if isinstance(df, SparkSession) else df.sparkSession
+    return spark.createDataFrame(rows, "feature string, value double")
 
 
 def top_features(importance: DataFrame, k: int = 20) -> DataFrame:
@@ -243,9 +263,40 @@ def fit_model(
     return build_model(config, task, label).fit(assembled(df, features))
 
 
-def save_checkpoint(features: Sequence[str], model: Model, path: str) -> None:
-    """Assembler and model as one pipeline on disk."""
-    stages = [VectorAssembler(inputCols=list(features), outputCol=VEC), model]
+class ColumnScaler(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """(x - mean) / (deviation + 1e-9) of columns, as a pipeline stage that is saved with its statistics.
+
+    Adds ``<column>__z`` for every input column; missing values stay missing.
+    """
+
+    means = Param(Params._dummy(), "means", "mean of each input column", TypeConverters.toListFloat)
+    deviations = Param(Params._dummy(), "deviations", "deviation of each input column", TypeConverters.toListFloat)
+
+    @classmethod
+    def fitted(cls, df: DataFrame, columns: Sequence[str]) -> ColumnScaler:
+        """With the statistics of ``df``, as ``fit_scaler`` gives them."""
+        stats = fit_scaler(df, columns).first()
+        return cls().setParams(list(columns), [float(stats[f"{c}_mean"]) for c in columns], [float(stats[f"{c}_std"]) for c in columns])
+
+    def setParams(self, columns: list[str], means: list[float], deviations: list[float]) -> ColumnScaler:
+        return self._set(inputCols=columns, means=means, deviations=deviations)
+
+    def outputs(self) -> list[str]:
+        return [f"{c}__z" for c in self.getInputCols()]
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        parts = zip(self.getInputCols(), self.getOrDefault("means"), self.getOrDefault("deviations"), self.outputs())
+        return df.withColumns({out: (F.col(c) - m) / (d + EPS) for c, m, d, out in parts})
+
+
+def save_checkpoint(features: Sequence[str], model: Model, path: str, scaler: ColumnScaler | None = None) -> None:
+    """Scaler (if any), assembler and model as one pipeline on disk.
+
+    A model fitted on standardised columns is saved with the ``scaler`` that made them, so the
+    loaded pipeline takes plain columns.
+    """
+    inputs = scaler.outputs() if scaler else list(features)
+    stages = [*([scaler] if scaler else []), VectorAssembler(inputCols=inputs, outputCol=VEC), model]
     PipelineModel(stages).write().overwrite().save(path)
 
 
@@ -256,33 +307,81 @@ def load_checkpoint(path: str) -> PipelineModel:
 # ---- stacking and blending ------------------------------------------------------
 
 
-def stacked(
-    train: DataFrame, test: DataFrame, features: Sequence[str], y: str, time: str = "date", epochs: int = 200,
-    hidden: Sequence[int] = (128, 64), purge: int = 1,
+def _branches(
+    features: Sequence[str], sentiment: Sequence[str], epochs: int, hidden: Sequence[int]
+) -> dict[str, tuple[list[str], str, dict[str, Any]]]:
+    """Branch name -> (columns, family, parameters)."""
+    layers = [len(features), *hidden, 2]
+    out = {
+        "lr": (list(features), "linear", {}),
+        "nb": (list(features), "naive_bayes", {}),
+        "mlp": (list(features), "mlp", {"layers": layers, "epochs": epochs}),
+    }
+    return out | ({"sent": (list(sentiment), "linear", {})} if sentiment else {})
+
+
+def _scored(fit_on: DataFrame, apply_to: DataFrame, y: str, branches: Mapping[str, tuple[list[str], str, dict[str, Any]]]) -> DataFrame:
+    """``apply_to`` with ``p_<branch>`` columns from branches fitted on ``fit_on``; a missing sentiment counts as 0."""
+    out = apply_to
+    for name, (cols, family, params) in branches.items():
+        fit_rows, rows = (d.fillna(0.0, cols) if name == "sent" else d for d in (fit_on, out))
+        scaler = ColumnScaler.fitted(fit_rows, cols)
+        z = scaler.outputs()
+        fit_rows = scaler.transform(fit_rows.select(*cols, y).dropna())
+        model = fit_model({"family": family, "params": params}, "classification", fit_rows, z, y)
+        rows = probability(model.transform(assembled(scaler.transform(rows), z)), f"p_{name}")
+        out = rows.drop(*z, VEC, "rawPrediction", "probability", "prediction")
+    return out
+
+
+def out_of_fold(
+    df: DataFrame, features: Sequence[str], y: str, time: str = "date", folds: int = 5, purge: int = 1,
+    sentiment: Sequence[str] = (), epochs: int = 200, hidden: Sequence[int] = (128, 64), threads: int = 4,
 ) -> DataFrame:
-    """Logistic, naive Bayes and perceptron branches under a logistic meta model.
+    """``df`` with a score per branch that was fitted on other dates, and the block of dates (``fold``).
 
-    The meta model learns on the later half of the training dates, which the
-    branches have not seen; then the branches are refitted on all of them.  The halves are cut
-    between dates, and ``purge`` dates before the cut, whose labels reach across it, are left out.
+    Dates fall into ``folds`` consecutive blocks of about equal numbers.  The branches that score a
+    block are fitted on all dates but the block and ``purge`` dates on both sides of it, whose labels
+    overlap with its own.  Rows are written once with their date position, every fold filters that
+    table, and folds are fitted side by side.  Rows with a missing feature go.
     """
-    train = materialize(train, "stack-train")
-    halves = with_roles(train.select(time, *features, y), purged_holdout(train, 0.5, purge, time), time)
-    early, late = halves.filter("role = 'train'"), halves.filter("role = 'test'")
-    layers = [len(features), *hidden, 2]
-    families = {"lr": ("linear", {}), "nb": ("naive_bayes", {}), "mlp": ("mlp", {"layers": layers, "epochs": epochs})}
+    placed = df.dropna("any", subset=[*features, y]).join(date_positions(df, time, "__p", "__n"), time)
+    rows = materialize(placed, "out-of-fold")
+    n = rows.agg(F.max("__n")).first()[0] or 0
+    branches = _branches(features, sentiment, epochs, hidden)
+    edges = [n * k // folds for k in range(folds + 1)]
+
+    def one(k: int) -> DataFrame:
+        low, high = edges[k], edges[k + 1]
+        own = (F.col("__p") >= low) & (F.col("__p") < high)
+        others = (F.col("__p") < low - purge) | (F.col("__p") >= high + purge)
+        scored = _scored(rows.filter(others), rows.filter(own), y, branches)
+        return scored.withColumn("fold", F.lit(k)).drop("__p", "__n")
+
+    used = [k for k in range(folds) if edges[k] < edges[k + 1]]
+    if not used:
+        raise ValueError("no complete rows to fit on")
+    with ThreadPool(min(threads, len(used))) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), used)
+    return reduce(DataFrame.unionByName, parts)
+
 
-    def branches(fit_on: DataFrame, apply_to: DataFrame) -> DataFrame:
-        scaler = fit_scaler(fit_on, features)
-        scaled, out = materialize(standardize(fit_on, scaler, features), "stack"), assembled(standardize(apply_to, scaler, features), features)
-        for name, (family, params) in families.items():
-            model = fit_model({"family": family, "params": params}, "classification", scaled, features, y)
-            out = probability(model.transform(out), f"p_{name}").drop("rawPrediction", "probability", "prediction")
-        return out.drop(VEC)
+def stacked(
+    train: DataFrame, test: DataFrame, features: Sequence[str], y: str, time: str = "date", epochs: int = 200,
+    hidden: Sequence[int] = (128, 64), purge: int = 1, folds: int = 5, sentiment: Sequence[str] = (), threads: int = 4,
+) -> DataFrame:
+    """Logistic, naive Bayes, perceptron and (given ``sentiment`` columns) sentiment branches under a logistic meta model.
 
-    cols = [f"p_{n}" for n in families]
-    meta = logistic(branches(early, late), cols, y, 1.0)
-    return probability(meta.transform(assembled(branches(train, test), cols))).drop(VEC, "rawPrediction", "probability")
+    The meta model learns on scores that no branch fitted on the same dates gave (``out_of_fold``),
+    over all training dates; then the branches are refitted on all of them and score ``test``.
+    """
+    inner = out_of_fold(train, features, y, time, folds, purge, sentiment, epochs, hidden, threads)
+    branches = _branches(features, sentiment, epochs, hidden)
+    cols = [f"p_{n}" for n in branches]
+    meta = logistic(materialize(inner.select(*cols, y), "stack-meta"), cols, y, 1.0)
+    whole = materialize(train.dropna("any", subset=[*features, y]), "stack-train")
+    scored = _scored(whole, test.dropna("any", subset=list(features)), y, branches)
+    return probability(meta.transform(assembled(scored, cols))).drop(VEC, "rawPrediction", "probability")
 
 
 def fit_blend(df: DataFrame, y: str, p1: str, p2: str, steps: int = 20) -> DataFrame:
@@ -308,35 +407,79 @@ def nearest_branch(windows: Sequence[int], horizon: int) -> int:
 # ---- drivers ---------------------------------------------------------------------
 
 
+class FoldStore:
+    """Models, importances and reports of the folds of a walk-forward run, in one folder.
+
+    ``models/fold=k`` holds the checkpoint, ``importances/fold=k`` and ``reports/fold=k`` tables.  The
+    report is written last and its success mark makes a fold complete, so a run that was killed
+    is taken up where it stopped.  The settings are kept too: a folder never mixes two runs.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _at(self, kind: str, fold: int) -> str:
+        return f"{self.path}/{kind}/fold={fold}"
+
+    def begin(self, settings: Mapping[str, Any]) -> None:
+        text, place = json.dumps(settings, sort_keys=True, default=str), f"{self.path}/settings.json"
+        if files.exists(place):
+            if files.read(place) != text:
+                raise ValueError(f"{self.path} holds folds of other settings")
+        else:
+            files.write(place, text)
+
+    def complete(self, fold: int) -> bool:
+        return files.exists(f"{self._at('reports', fold)}/_SUCCESS")
+
+    def save(self, fold: int, features: Sequence[str], model: Model, importances: DataFrame, report: DataFrame) -> None:
+        save_checkpoint(features, model, self._at("models", fold))
+        importances.write.mode("overwrite").parquet(self._at("importances", fold))
+        report.write.mode("overwrite").parquet(self._at("reports", fold))
+
+    def model(self, fold: int) -> PipelineModel:
+        """The fold's model behind its assembler: takes plain columns."""
+        return load_checkpoint(self._at("models", fold))
+
+    def importances(self) -> DataFrame:
+        """(feature, value, fold)"""
+        return self.spark.read.parquet(f"{self.path}/importances")
+
+    def reports(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/reports")
+
+
 def train_walk_forward(
     df: DataFrame, features: Sequence[str], y: str, roles: DataFrame, config: Mapping[str, Any], task: str,
-    time: str = "date",
+    time: str = "date", store: str | None = None,
 ) -> DataFrame:
     """One fit per fold; a row per fold with row counts and the report of the task.
 
     Boosting stops early on the fold's ``val`` rows.  Each fold filters the same rows, no copy
-    per fold is made.
+    per fold is made.  With ``store`` (a folder) every fold's model, importances and report
+    are kept, and folds that are complete there are not fitted again.  Folds
+    without training or test rows are left out.
     """
+    spark = df.sparkSession
+    kept = FoldStore(spark, store or scratch_path(spark, "folds"))
+    kept.begin({"features": list(features), "y": y, "config": dict(config), "task": task})
     data = with_roles(materialize(df.select(time, *features, y).dropna(), "walk-forward"), roles, time)
-    folds = [r[0] for r in data.select("fold").distinct().orderBy("fold").collect()]
-    tables = []
-    for fold in folds:
+    sizes = data.groupBy("fold").pivot("role", ["train", "val", "test"]).count().fillna(0).orderBy("fold").collect()
+    for fold, n_train, n_val, n_test in sizes:
+        if not n_train or not n_test or kept.complete(fold):
+            continue
         part = data.filter(F.col("fold") == fold)
         train, test = part.filter("role = 'train'"), part.filter("role = 'test'")
-        n_train, n_test = train.count(), test.count()
-        if not n_train or not n_test:
-            continue
-        val = part.filter("role = 'val'")
-        model = fit_model(config, task, train, features, y, val if not val.isEmpty() else None)
+        model = fit_model(config, task, train, features, y, part.filter("role = 'val'") if n_val else None)
         scored = model.transform(assembled(test, features))
         if task == "classification":
             report = M.classification_report(probability(scored), y, "prediction", "p")
         else:
             report = M.regression_report(scored, y, "prediction")
-        tables.append(
-            report.select(F.lit(fold).alias("fold"), F.lit(n_train).alias("n_train"), F.lit(n_test).alias("n_test"), "*")
-        )
-    return reduce(DataFrame.unionByName, tables)
+        report = report.select(F.lit(n_train).alias("n_train"), F.lit(n_test).alias("n_test"), "*")
+        kept.save(fold, features, model, importance_table(model, features, spark), report)
+    found = kept.reports()
+    return found.select("fold", *(c for c in found.columns if c != "fold"))
 
 
 def transfer_evaluate(

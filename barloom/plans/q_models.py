@@ -6,6 +6,7 @@ iterative fits are rows-only.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.operators import intraday as N
@@ -13,12 +14,16 @@ from barloom.operators import models as Z
 from barloom.operators import splits as S
 from barloom.operators import technicals as T
 from barloom.operators import labels as L
+from barloom.operators.bands import TAUS
 from barloom.operators.blocks import date_positions
+from barloom.operators.quantile_fit import fit_quantiles
 from barloom.plans.q_panels import FEATS, PROBE, probe_frame
+from barloom.plans.q_sources import LEXICON
 from barloom.plans.registry import query, rounded
 from barloom.plans.sqltext import WIDE
 from barloom.session import scratch_path
-from barloom.sources.datasets import daily_panel, wide_panel
+from barloom.sources.datasets import daily_panel, table, wide_panel
+from barloom.sources.news import lexicon_scores, sentiment_panel
 
 KEY = ["ticker", "date"]
 FEW = ["ret5", "ret20", "vol20", "rsi14", "dist_hi", "dist_lo"]
@@ -38,16 +43,19 @@ def _coef(model, features, df):
 ONE = ["dist_hi"]
 
 
-def _logistic_sql(alpha: str, select: str) -> str:
+def _logistic_sql(alpha: str, select: str, balanced: bool = False, scaled: bool = False) -> str:
     """Newton steps for a logistic fit of ``up`` on one feature with a free intercept, on the training dates."""
+    weight = "(SELECT count(*) FROM t0) / (2 * (count(*) OVER (PARTITION BY y)))" if balanced else "1"
+    mean, spread = ("(SELECT avg(x) FROM t0)", "((SELECT stddev_pop(x) FROM t0) + 1e-9)") if scaled else ("0", "1")
     return f"""WITH RECURSIVE {WIDE}, {PROBE},
  q AS MATERIALIZED (SELECT ticker, date, dist_hi AS x, CAST(fwd > 0 AS INTEGER) AS y, dense_rank() OVER (ORDER BY date) - 1 AS p FROM pb),
- e AS (SELECT floor(0.7::DOUBLE * (max(p) + 1)) AS cut FROM q), tr AS MATERIALIZED (SELECT x, y FROM q, e WHERE p < cut - 1),
+ e AS (SELECT floor(0.7::DOUBLE * (max(p) + 1)) AS cut FROM q), t0 AS MATERIALIZED (SELECT x, y FROM q, e WHERE p < cut - 1),
+ tr AS MATERIALIZED (SELECT (x - {mean}) / {spread} AS x, y, {weight} AS k FROM t0),
  it(i, w, b) AS (SELECT 0, 0::DOUBLE, 0::DOUBLE UNION ALL
   SELECT i + 1, w - (gw * hb - gb * hwb) / (hw * hb - hwb * hwb), b - (gb * hw - gw * hwb) / (hw * hb - hwb * hwb)
-  FROM (SELECT i, w, b, sum((s - y) * x) + {alpha} * w AS gw, sum(s - y) AS gb, sum(s * (1 - s) * x * x) + {alpha} AS hw,
-    sum(s * (1 - s) * x) AS hwb, sum(s * (1 - s)) AS hb
-   FROM (SELECT i, w, b, x, y, 1 / (1 + exp(-(w * x + b))) AS s FROM it, tr) GROUP BY 1, 2, 3) WHERE i < 14),
+  FROM (SELECT i, w, b, sum(k * (s - y) * x) + {alpha} * w AS gw, sum(k * (s - y)) AS gb, sum(k * s * (1 - s) * x * x) + {alpha} AS hw,
+    sum(k * s * (1 - s) * x) AS hwb, sum(k * s * (1 - s)) AS hb
+   FROM (SELECT i, w, b, x, y, k, 1 / (1 + exp(-(w * x + b))) AS s FROM it, tr) GROUP BY 1, 2, 3) WHERE i < 14),
  f AS (SELECT w, b FROM it WHERE i = 14) {select}"""
 
 
@@ -141,6 +149,12 @@ def m07(spark, sf_dir):
     return df.groupBy("up").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"))
 
 
+@query("m07_balanced_logistic", _logistic_sql("10::DOUBLE", _FIT, balanced=True))
+def m07_fit(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return _fitted(spark, Z.balanced_logistic(train, ONE, "up", 0.1), test)
+
+
 @query("m08_logistic_unpenalised", _logistic_sql("0::DOUBLE", _FIT))
 def m08(spark, sf_dir):
     train, test = _split(spark, sf_dir)
@@ -178,17 +192,63 @@ def m11(spark, sf_dir):
     return Z.lasso_overlap(df, FEATS, "up", 50.0, 4)
 
 
+_QFIT_STEPS = 24
+
+
+def _quantile_sql() -> str:
+    """Majorised quantile regression of ``fwd`` on one feature, and the loss of the ordered edges on the test dates."""
+    level = "CASE " + " ".join(f"WHEN tau = {t}::DOUBLE THEN '{n}'" for n, t in TAUS.items()) + " END"
+    taus = ", ".join(f"({t}::DOUBLE)" for t in TAUS.values())
+    return f"""WITH RECURSIVE {WIDE}, {PROBE},
+ q AS MATERIALIZED (SELECT ticker, date, dist_hi AS x, fwd AS y, dense_rank() OVER (ORDER BY date) - 1 AS p FROM pb),
+ e AS (SELECT floor(0.7::DOUBLE * (max(p) + 1)) AS cut FROM q), tr AS MATERIALIZED (SELECT x, y FROM q, e WHERE p < cut - 1),
+ ep AS (SELECT 0.001::DOUBLE * stddev_pop(y) AS e, avg(y) AS m FROM tr), ta(tau) AS (VALUES {taus}),
+ it(i, tau, w, b) AS (SELECT 0, tau, 0::DOUBLE, m FROM ta, ep UNION ALL
+  SELECT i + 1, tau, (s * bx - sx * b0) / (s * sxx - sx * sx), (sxx * b0 - sx * bx) / (s * sxx - sx * sx)
+  FROM (SELECT i, tau, sum(k) AS s, sum(k * x) AS sx, sum(k * x * x) AS sxx, sum(k * x * y) + (2 * tau - 1) * sum(x) AS bx,
+    sum(k * y) + (2 * tau - 1) * count(*) AS b0
+   FROM (SELECT i, tau, x, y, 1 / (ep.e + abs(y - w * x - b)) AS k FROM it, tr, ep) GROUP BY 1, 2) WHERE i < {_QFIT_STEPS}),
+ f AS (SELECT tau, w, b, row_number() OVER (ORDER BY tau) AS k FROM it WHERE i = {_QFIT_STEPS}),
+ te AS (SELECT ticker, date, y, list_sort(list(w * x + b)) AS edges FROM q, e, f WHERE p >= cut GROUP BY 1, 2, 3)
+ SELECT {level} AS level, round(w, 5) AS coefficient, round(b, 5) AS intercept,
+  round(avg(greatest(tau * (y - edges[k]), (tau - 1) * (y - edges[k]))), 6) AS pinball FROM f, te GROUP BY tau, w, b, k"""
+
+
+@query("m14_fitted_bands", _quantile_sql())
+def m14_fitted(spark, sf_dir):
+    """Five levels fitted on the training dates; coefficients and the loss on the test dates."""
+    train, test = _split(spark, sf_dir)
+    model = fit_quantiles(train, ONE, "fwd", steps=_QFIT_STEPS, tolerance=0.0)
+    rows = [(n, round(float(w[1]), 5), round(float(w[0]), 5)) for n, w in zip(model.taus, model.weights)]
+    found = spark.createDataFrame(rows, "level string, coefficient double, intercept double")
+    return found.join(model.loss(test, "fwd"), "level").withColumn("pinball", F.round("pinball", 6))
+
+
 @query("i08_selection_overlap")
 def i08(spark, sf_dir):
     df = probe_frame(spark, sf_dir).cache()
     return Z.lasso_overlap(df, FEATS, "up", 50.0, 6).filter("in_lasso and in_mi").select("feature")
 
 
+def _tone(spark, sf_dir, grid):
+    """Lexicon tone of the documents, dealt by id to suppliers and days, on the dates of ``grid``."""
+    lexicon = spark.createDataFrame(list(LEXICON), "word string, valence double")
+    scores = lexicon_scores(table(spark, sf_dir, "documents"), "text", lexicon, ("doc_id",))
+    first, last = grid.agg(F.min("date"), F.max("date")).first()
+    days, id_ = (last - first).days + 1, F.col("doc_id")
+    day = F.date_add(F.lit(first), F.pmod(F.xxhash64(id_), F.lit(days)).cast("int"))
+    tickers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("ticker"), (F.row_number().over(Window.orderBy("s_suppkey")) - 1).alias("__k"))
+    dealt = scores.withColumn("__k", F.pmod(id_, F.lit(tickers.count()))).withColumn("date", day).join(tickers, "__k")
+    return sentiment_panel(dealt, grid.select(*KEY)).withColumnRenamed("score", "tone")
+
+
 @query("m12_stacking")
 def m12(spark, sf_dir):
     train, test = _split(spark, sf_dir)
-    out = Z.stacked(train.cache(), test, FEW, "up")
-    return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("p_lr", "p_nb", "p_mlp", "p")])
+    news = _tone(spark, sf_dir, train.unionByName(test))
+    train, test = (d.join(news, KEY, "left") for d in (train, test))
+    out = Z.stacked(train, test, FEW, "up", folds=3, sentiment=["tone"])
+    return out.select(*KEY, *[F.round(c, 6).alias(c) for c in ("p_lr", "p_nb", "p_mlp", "p_sent", "p")])
 
 
 @query("m16_walk_forward_training")
@@ -208,8 +268,11 @@ def m17(spark, sf_dir):
 
 @query("m20_top_features")
 def m20(spark, sf_dir):
+    """Up to 1 000 rounds; the last fifth of the training dates stops the fit early."""
     train, _ = _split(spark, sf_dir)
-    model = Z.boosted("classification", "up", num_iterations=100).fit(Z.assembled(train, FEATS))
+    parts = S.with_roles(train.drop("role"), S.purged_holdout(train, 0.8, 1))
+    early, late = parts.filter("role = 'train'"), parts.filter("role = 'test'")
+    model = Z.fit_model({"family": "gbm"}, "classification", early, FEATS, "up", late)
     return Z.top_features(Z.coefficients(model, FEATS, train), 5)
 
 
@@ -230,6 +293,21 @@ def m22(spark, sf_dir):
     return spark.createDataFrame([row], "coefficient double, intercept double, called_up long")
 
 
+_SCALED = _FIT.replace("w * x + b", "w * (x - (SELECT avg(x) FROM t0)) / ((SELECT stddev_pop(x) FROM t0) + 1e-9) + b")
+
+
+@query("m22_checkpoint_scaled", _logistic_sql("1::DOUBLE", _SCALED, scaled=True))
+def m22_scaled(spark, sf_dir):
+    """A fit on standardised columns, saved with its scaler and applied to plain columns after loading."""
+    train, test = _split(spark, sf_dir)
+    scaler, path = Z.ColumnScaler.fitted(train, ONE), scratch_path(spark, "model")
+    Z.save_checkpoint(ONE, Z.logistic(scaler.transform(train), scaler.outputs(), "up"), path, scaler)
+    loaded = Z.load_checkpoint(path)
+    up = Z.probability(loaded.transform(test)).filter("p > 0.5").count()
+    row = (round(float(loaded.stages[-1].coefficients[0]), 4), round(float(loaded.stages[-1].intercept), 4), up)
+    return spark.createDataFrame([row], "coefficient double, intercept double, called_up long")
+
+
 @query("e17_signal_probe")
 def e17(spark, sf_dir):
     df = probe_frame(spark, sf_dir).cache()
