@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import DAILY, EPS, Axis, clip, ratio
 from barloom.functions.rolling import Roll, with_rolling
 from barloom.operators.ranking import with_ranks
+from barloom.session import materialize
 
 # Look-backs of the context features.
 CONTEXT_HORIZONS = (5, 20, 60, 120, 252)
@@ -212,14 +212,16 @@ def pair_distance(corr: DataFrame) -> DataFrame:
     return one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
 
 
-def silhouette(dist: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Mean silhouette of a clustering (a, cluster) on a pair-distance table."""
-    own = clusters.select("a", F.col("cluster").alias("own"))
-    other = clusters.select(F.col("a").alias("b"), F.col("cluster").alias("other"))
-    mean = (
-        dist.join(own, "a").join(other, "b").groupBy("a", "own", "other").agg(F.avg("dist").alias("m"))
-    )
-    sides = mean.groupBy("a").agg(
+def silhouettes(dist: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(k, silhouette): the mean silhouette of each clustering (k, a, cluster) on a pair-distance table.
+
+    Mean distances to clusters are taken for all clusterings side by side.
+    """
+    own = clusters.select("k", "a", F.col("cluster").alias("own"))
+    other = clusters.select(F.col("k").alias("__k"), F.col("a").alias("b"), F.col("cluster").alias("other"))
+    pairs = dist.join(own, "a").join(other, "b").filter("k = __k")
+    mean = pairs.groupBy("k", "a", "own", "other").agg(F.avg("dist").alias("m"))
+    sides = mean.groupBy("k", "a").agg(
         F.min(F.when(F.col("own") == F.col("other"), F.col("m"))).alias("inside"),
         F.min(F.when(F.col("own") != F.col("other"), F.col("m"))).alias("outside"),
     )
@@ -227,58 +229,130 @@ def silhouette(dist: DataFrame, clusters: DataFrame) -> DataFrame:
     score = F.when(F.col("inside").isNull() | F.col("outside").isNull(), 0.0).otherwise(
         F.coalesce(ratio(F.col("outside") - F.col("inside"), top), F.lit(0.0))
     )
-    return sides.agg(F.avg(score).alias("silhouette"))
+    return sides.groupBy("k").agg(F.avg(score).alias("silhouette"))
+
+
+def silhouette(dist: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Mean silhouette of one clustering (a, cluster) on a pair-distance table."""
+    one = silhouettes(dist, clusters.withColumn("k", F.lit(0))).select("silhouette")
+    return one.agg(F.max("silhouette").alias("silhouette"))
+
+
+def average_linkage(dist: DataFrame, missing: float = 1.0) -> DataFrame:
+    """The merges of average-linkage clustering of a pair-distance table (a, b, dist); of both directions a < b is read.
+
+    Columns: ``step`` (from 1, by height), ``a`` and ``b`` (the smallest members of the two clusters, a < b),
+    ``height``.  Clusters that are each other's nearest merge in one round, all of them at once: with
+    average linkage a merge never brings a third cluster nearer than it was, so these are the merges that
+    taking the nearest pair one by one makes.  Ties go to the smaller pair.  The table keeps the sums of
+    distances between clusters as rows; a round is a minimum per cluster, a join of the few merged ones
+    and a sum per pair.  A pair that the table lacks counts as ``missing``; clusters without any pair never
+    merge.  Heights are compared to 12 digits.
+    """
+    spark = dist.sparkSession
+    rows = dist.filter("a < b and dist is not null")
+    edges = rows.select("a", "b", (F.col("dist") - missing).alias("s"), F.lit(1).cast("long").alias("na"), F.lit(1).cast("long").alias("nb"))
+    rounds: list[DataFrame] = []
+    while True:
+        edges = materialize(edges, "linkage")
+        height = F.round(missing + F.col("s") / (F.col("na") * F.col("nb")), 12)
+        rank = F.struct(height.alias("height"), F.col("a").alias("low"), F.col("b").alias("high"))
+        ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("na").alias("n")), F.struct(F.col("b").alias("c"), F.col("nb").alias("n"))))
+        nearest = edges.withColumn("m", rank).select(ends.alias("e"), "m").groupBy("e.c").agg(F.min("m").alias("m"), F.max("e.n").alias("n"))
+        nearest = materialize(nearest, "linkage-nearest")
+        # A pair that both of its ends name.
+        pairs = nearest.groupBy("m").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n")).filter("k = 2")
+        pairs = materialize(pairs.select("m.low", "m.high", "m.height", "n"), "linkage-pairs")
+        if pairs.isEmpty():
+            break
+        rounds.append(pairs.drop("n"))
+        both = F.explode(F.array("low", "high"))
+        root = pairs.select(both.alias("old"), F.col("low").alias("new"), "n")
+        for end in "ab":
+            edges = edges.join(root.toDF(end, "new", "n"), end, "left").withColumns(
+                {end: F.coalesce("new", end), f"n{end}": F.coalesce("n", f"n{end}")}
+            ).drop("new", "n")
+        swap = F.col("a") > F.col("b")
+        sizes = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("nb", "na"), ("na", "nb"))]
+        kept = edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s", *sizes)
+        edges = kept.groupBy("a", "b").agg(F.sum("s").alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    if not rounds:
+        kind = dict(dist.dtypes)["a"]
+        return spark.createDataFrame([], f"step long, a {kind}, b {kind}, height double")
+    merges = reduce(DataFrame.unionByName, rounds)
+    # One row per clustered name and merge; heights of average linkage never fall, so height order is merge order.
+    step = F.row_number().over(Window.orderBy("height", "low", "high")).cast("long")
+    return merges.select(step.alias("step"), F.col("low").alias("a"), F.col("high").alias("b"), "height")
+
+
+def cut_tree(merges: DataFrame, names: DataFrame, counts: Sequence[int], limit: int = 100_000) -> DataFrame:
+    """(k, a, cluster) for every number of clusters in ``counts``: the cluster's smallest name.
+
+    ``names`` has one column, the clustered names.  The tree has one row per name, fewer than the
+    pair distances by as many; it is walked on the driver, for at most ``limit`` names.
+    """
+    every = [r[0] for r in names.orderBy(names.columns[0]).limit(limit + 1).collect()]
+    if len(every) > limit:
+        raise ValueError(f"more than {limit} names to cluster")
+    root = {n: n for n in every}
+
+    def top(n):
+        while root[n] != n:
+            root[n] = root[root[n]]
+            n = root[n]
+        return n
+
+    steps = [(r["a"], r["b"]) for r in merges.orderBy("step").collect()]
+    rows, done = [], 0
+    for k in sorted(set(counts), reverse=True):
+        while done < min(len(steps), len(every) - k):
+            a, b = sorted(map(top, steps[done]))
+            root[b] = a
+            done += 1
+        rows += [(k, n, top(n)) for n in every]
+    kind = dict(names.dtypes)[names.columns[0]]
+    return names.sparkSession.createDataFrame(rows, f"k int, a {kind}, cluster {kind}")
 
 
 def correlation_clusters(
     df: DataFrame,
+    universe: DataFrame,
     n_clusters: int | None = None,
     insample_end: str | None = None,
     k_range: tuple[int, int] = (8, 20),
     min_obs: int = 250,
     market_neutral: bool = True,
     ax: Axis = DAILY,
-    seed: int = 0,
 ) -> DataFrame:
-    """ticker -> cluster label ``CLnn`` from return co-movement.
+    """ticker -> cluster label ``CLnn`` from return co-movement, by average linkage.
 
-    KMeans on the rows of the correlation distance; the number of clusters is
-    the one with the best mean silhouette.  Tickers with little history, or too
-    few tickers altogether, are ``MARKET``.  Only data up to ``insample_end``
-    are used.  The distance rows are as wide as the clustered universe.
+    ``universe`` (one column of tickers) bounds what is clustered: there is a distance for every pair of it.
+    The number of clusters is the one with the best mean silhouette, of equal ones the smallest.  Labels are numbered by
+    the smallest ticker of the cluster.  Tickers of ``df`` outside the universe, with little history, or of
+    a universe that has too few to be cut, are ``MARKET``.  Only data up to ``insample_end`` are used.
     """
     key = ax.keys[0]
     sample = df if insample_end is None else df.filter(F.col(ax.time) <= F.lit(insample_end).cast("date"))
+    sample = sample.join(universe.select(F.col(universe.columns[0]).alias(key)).distinct(), key, "left_semi")
     returns = sample.select(key, ax.time, ax.log_return(F.col("close")).alias("r")).filter("r is not null")
-    valid = returns.groupBy(key).count().filter(F.col("count") >= min_obs).select(key)
+    valid = returns.groupBy(key).count().filter(F.col("count") >= min_obs).select(F.col(key).alias("a"))
+    valid = materialize(valid, "clustered")
     everyone = df.select(key).distinct()
     n = valid.count()
     if n < k_range[0] + 1:
         return everyone.withColumn("cluster", F.lit("MARKET"))
-    used = returns.join(valid, key, "left_semi")
+    used = returns.join(valid.withColumnRenamed("a", key), key, "left_semi")
     if market_neutral:
         mean = used.groupBy(ax.time).agg(F.avg("r").alias("__m"))
         used = used.join(mean, ax.time).withColumn("r", F.col("r") - F.col("__m"))
-    dist = pair_distance(pair_correlation(used, "r", key, ax.time)).cache()
-    own = valid.select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("dist"))
-    rows = (
-        dist.unionByName(own)
-        .groupBy("a")
-        .agg(F.array_sort(F.collect_list(F.struct("b", "dist"))).alias("row"))
-        .select("a", array_to_vector(F.col("row.dist")).alias("features"))
-        .cache()
-    )
-    best: tuple[float, DataFrame] | None = None
-    ks = [n_clusters] if n_clusters else range(k_range[0], min(k_range[1], n - 1) + 1)
-    for k in ks:
-        labels = KMeans(k=k, seed=seed, maxIter=50).fit(rows).transform(rows)
-        labels = labels.select("a", F.col("prediction").alias("cluster"))
-        score = 0.0 if n_clusters else silhouette(dist, labels).first()[0]
-        if best is None or score > best[0]:
-            best = (score, labels)
-    named = best[1].select(
-        F.col("a").alias(key), F.format_string("CL%02d", "cluster").alias("cluster")
-    )
+    dist = materialize(pair_distance(pair_correlation(used, "r", key, ax.time)), "pair-distance")
+    ks = [n_clusters] if n_clusters else list(range(k_range[0], min(k_range[1], n - 1) + 1))
+    labels = cut_tree(average_linkage(dist), valid, ks)
+    if n_clusters is None:
+        best = silhouettes(dist, labels).orderBy(F.desc(F.round("silhouette", 12)), "k").first()["k"]
+        labels = labels.filter(F.col("k") == best)
+    number = F.dense_rank().over(Window.orderBy("cluster")) - 1
+    named = labels.select(F.col("a").alias(key), F.format_string("CL%02d", number).alias("cluster"))
     return everyone.join(named, key, "left").withColumn("cluster", F.coalesce("cluster", F.lit("MARKET")))
 
 

@@ -1,6 +1,51 @@
+import itertools
+import random
+
+import pytest
+
+from barloom.operators import context as X
 from barloom.plans.q_context import x09
 
 
+def linkage(names, dist):
+    """Nearest pair first, by the definition: the mean of all distances between two clusters."""
+    clusters, merges = [(n,) for n in names], []
+    while len(clusters) > 1:
+        mean = lambda a, b: round(sum(dist.get((x, y), 1.0) for x in a for y in b) / (len(a) * len(b)), 12)
+        height, _, _, a, b = min((mean(a, b), min(a), min(b), a, b) for a, b in itertools.combinations(sorted(clusters, key=min), 2))
+        merges.append((min(a), min(b), height))
+        clusters = [c for c in clusters if c not in (a, b)] + [tuple(sorted(a + b))]
+    return merges
+
+
+@pytest.mark.parametrize("seed", [9, 1])
+def test_average_linkage_equals_nearest_pair_first(spark, seed):
+    rng = random.Random(seed)
+    names = [f"T{i:02d}" for i in range(25)]
+    spots = {n: (rng.uniform(0, 1), rng.uniform(0, 1)) for n in names}
+    dist = {}
+    for a, b in itertools.permutations(names, 2):
+        d = ((spots[a][0] - spots[b][0]) ** 2 + (spots[a][1] - spots[b][1]) ** 2) ** 0.5
+        dist[a, b] = dist.get((b, a), d)
+    for pair in [("T03", "T11"), ("T07", "T20")]:  # pairs without a distance
+        dist.pop(pair), dist.pop(pair[::-1])
+    table = spark.createDataFrame([(a, b, float(d)) for (a, b), d in dist.items()], "a string, b string, dist double")
+    merges = X.average_linkage(table)
+    got = [(r.a, r.b, r.height) for r in merges.orderBy("step").collect()]
+    expect = linkage(names, dist)
+    assert len(got) == 24 and sorted(m[:2] for m in got) == sorted(m[:2] for m in expect)
+    assert [round(m[2], 9) for m in got] == [round(m[2], 9) for m in sorted(expect, key=lambda m: m[2])]
+    people = spark.createDataFrame([(n,) for n in names], "a string")
+    for k in (1, 4, 25):
+        groups = {}
+        for r in X.cut_tree(merges, people, [k]).collect():
+            groups.setdefault(r.cluster, set()).add(r.a)
+        assert len(groups) == k and all(min(v) == c for c, v in groups.items())
+    assert X.average_linkage(table.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        X.cut_tree(merges, people, [2], limit=10)
+
+
 def test_x09_searches_the_default_numbers_of_clusters(spark):
     found = {r.cluster for r in x09(spark, "/root/testdata/sf0.01").select("cluster").distinct().collect()}
     assert 8 <= len(found - {"MARKET"}) <= 20
