@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import ascii_lower, bind
 
 # Hexadecimal digits of a SHA-256 digest that serve as the join key.
+# Parts that the pages of one matched tail and head are dealt to.
+SHARES = 32
 PREFIX_DIGITS = 8
 
 
@@ -123,7 +125,10 @@ def judge(
         .groupBy("__tail", "__head")
         .agg(F.max(rank).alias("best"))
     )
-    return urls.join(found, ["__tail", "__head"], "left").select(
+    # All pages of a site may share one tail and head: they are spread, and each matched pair is there once per share.
+    urls = urls.withColumn("__share", F.pmod(F.xxhash64(id_col, "host", "path"), F.lit(SHARES)))
+    found = found.withColumn("__share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long"))))
+    return urls.join(found, ["__tail", "__head", "__share"], "left").select(
         id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.says", F.lit(default)).alias("verdict")
     )
 
