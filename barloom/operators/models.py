@@ -346,7 +346,8 @@ def out_of_fold(
     table, and folds are fitted side by side.  Rows with a missing feature go.
     """
     placed = df.dropna("any", subset=[*features, y]).join(date_positions(df, time, "__p", "__n"), time)
-    rows = materialize(placed, "out-of-fold")
+    # In a fixed order, so that a rerun hands the optimizers the same rows in the same order.
+    rows = materialize(placed.sortWithinPartitions(time, *features, y), "out-of-fold")
     n = rows.agg(F.max("__n")).first()[0] or 0
     branches = _branches(features, sentiment, epochs, hidden)
     edges = [n * k // folds for k in range(folds + 1)]
