@@ -95,13 +95,8 @@ def top_bottom_by_rank(
     return ranked.withColumn(out, split_by_rank(F.col("__rank"), top, bottom)).drop("__rank")
 
 
-def forward_volatility(r1: Column, horizon: int, ax: Axis = DAILY, single: bool = False) -> Column:
-    """Sample deviation of the next ``horizon`` returns.
-
-    One return has no deviation: NULL, or its size when ``single``.
-    """
-    if horizon <= 1 and single:
-        return F.abs(ax.lead(r1, 1))
+def forward_volatility(r1: Column, horizon: int, ax: Axis = DAILY) -> Column:
+    """Sample deviation of the next ``horizon`` returns; one return has none: NULL."""
     ahead = ax.leading(horizon)
     return F.when(F.count(r1).over(ahead) == horizon, F.stddev_samp(r1).over(ahead))
 
@@ -158,11 +153,14 @@ def mean_by_horizon(df: DataFrame, horizons: Sequence[int]) -> DataFrame:
 
 def within_day_targets(df: DataFrame, horizons: Sequence[int], ax: Axis, day: str = "day") -> DataFrame:
     """h{k}, r{k} over bars; NULL when the last bar falls on another day."""
-    close = F.col("close")
-    staged = df.withColumn("__r1", F.coalesce(ax.log_return(close), F.lit(0.0)))
+    staged = df.withColumn("__r1", F.coalesce(ax.log_return(F.col("close")), F.lit(0.0)))
+    # As in ``volatility_targets``: the deviation of the next h returns is the trailing one, h rows later.
+    long = [h for h in horizons if h > 1]
+    staged = with_rolling(staged, ax, {f"__v{h}": Roll("std", "__r1", h) for h in long})
     cols = {}
     for h in horizons:
         same = ax.lead(F.col(day), h) == F.col(day)
-        cols[f"h{h}"] = F.when(same, forward_volatility(F.col("__r1"), h, ax, single=True))
+        ahead = ax.lead(F.col(f"__v{h}"), h) if h > 1 else F.abs(ax.lead(F.col("__r1"), 1))
+        cols[f"h{h}"] = F.when(same, ahead)
         cols[f"r{h}"] = F.when(same, forward_return(h, ax))
-    return staged.withColumns(cols).drop("__r1")
+    return staged.withColumns(cols).drop("__r1", *[f"__v{h}" for h in long])
