@@ -262,48 +262,6 @@ def majority_baseline(y: Column) -> Column:
     return F.greatest(F.avg(y), 1 - F.avg(y))
 
 
-def poisson_one(u: Column) -> Column:
-    """Poisson(1) draw from a uniform number; beyond 18 the steps are below what a double can tell."""
-    total, term, out = 0.0, 0.36787944117144233, F.when(u < 0, 0)
-    for k in range(18):
-        total += term
-        out = out.when(u < total, k)
-        term /= k + 1
-    return out.otherwise(18)
-
-
-def bootstrap_auc_gap(
-    df: DataFrame, y: str, a: str, b: str, keys: Sequence[str], n_boot: int = 1000, seed: int = 0
-) -> DataFrame:
-    """AUC gap of two scores: observed, 95 % interval, two-sided p.
-
-    Resampling weights are Poisson(1) per (row, replicate) from a hash of the
-    key, so both scores see the same draw, nothing depends on partitioning, and
-    each replicate is an ordinary group.  A one-class replicate counts as 0.
-    """
-    rows = df.select(*keys, F.col(y).cast("double").alias("y"), F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    u = F.pmod(F.xxhash64(*keys, F.col("rep"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    drawn = (
-        rows.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-        .withColumn("w", poisson_one(u).cast("double"))
-        .filter("w > 0")
-    )
-    each = lambda d, w: roc_auc(d, "y", "a", ["rep"], w, out="auc_a").join(
-        roc_auc(d, "y", "b", ["rep"], w, out="auc_b"), "rep"
-    )
-    gaps = each(drawn, "w").select(
-        F.coalesce(F.col("auc_a") - F.col("auc_b"), F.lit(0.0)).alias("gap")
-    )
-    seen = roc_auc(rows, "y", "a", out="v").scalar() - roc_auc(rows, "y", "b", out="v").scalar()
-    tail = 2 * F.least(F.avg((F.col("gap") <= 0).cast("double")), F.avg((F.col("gap") >= 0).cast("double")))
-    # One row per replicate: n_boot values, so an exact percentile aggregate is bounded.
-    return gaps.agg(
-        F.percentile("gap", F.lit(0.025)).alias("lo"),
-        F.percentile("gap", F.lit(0.975)).alias("hi"),
-        F.least(tail, F.lit(1.0)).alias("p_value"),
-    ).select(seen.alias("gap"), "lo", "hi", "p_value")
-
-
 def fold_summary(metrics: DataFrame, acc: str = "acc", auc: str = "auc") -> DataFrame:
     return metrics.agg(
         F.avg(acc).alias("mean_acc"),

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import metrics as M
+from barloom.operators.bootstrap import poisson_one
 from barloom.operators.blocks import date_positions
 from barloom.operators.cleaning import EPS, fit_scaler, standardize
 from barloom.operators.infotheory import mutual_information, names, top_by_information
@@ -574,7 +575,7 @@ def bias_variance(
     for i in range(rounds):
         est = LogisticRegression(featuresCol=VEC, labelCol=y, maxIter=50, standardization=False, weightCol="__w")
         u = F.pmod(F.xxhash64(*keys, F.lit(seed + i)), F.lit(1 << 40)) / float(1 << 40)
-        model = est.fit(a.withColumn("__w", M.poisson_one(u).cast("double")).filter("__w > 0"))
+        model = est.fit(a.withColumn("__w", poisson_one(u).cast("double")).filter("__w > 0"))
         parts.append(probability(model.transform(b)).select(*keys, F.col(y).cast("double").alias("y"), "p"))
     runs = reduce(DataFrame.unionByName, parts)
     rows = runs.groupBy(*keys, "y").agg(

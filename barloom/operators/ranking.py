@@ -1,10 +1,9 @@
 """Exact ranks, quantiles and order statistics of groups of any size, one way for all.
 
-``value_ranks`` counts equal values first (map-side), lets values fall into
-order-preserving buckets, and adds up only the bucket totals per group.  Buckets are
-logarithmic, and each is cut into equal ranges of its own span, as many as its values
-ask for; so values crowded into a tiny interval are spread as well.  The sort runs per
-(group, bucket, range): a group holding a third of all rows is many tasks' work.
+A group is cut into ranges of values, as many as its rows ask for; only the sizes of
+ranges are added up per group, and the sort runs per (group, range).  The cuts come from
+a sample of the group drawn by hash, so they lie where the values lie, however crowded, and
+a repeated evaluation finds the same ones.  A group holding a third of all rows is many tasks' work.
 """
 
 from __future__ import annotations
@@ -17,8 +16,11 @@ from pyspark.sql import functions as F
 
 from barloom.session import materialize
 
-# Distinct values that one range of a bucket is meant to hold.
+# Rows that one range is meant to hold; a group has at most RANGES of them.
 RANGE_VALUES = 16_384
+RANGES = 256
+# Sampled values of a group from which its cuts are taken.
+SAMPLED = 4096
 
 # Buckets per factor e of magnitude; about 2 800 per factor 2.
 RESOLUTION = 4096.0
@@ -33,6 +35,55 @@ def order_bucket(x: Column) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x) * 1e9) * RESOLUTION).cast("long")
 
 
+def _equal(names: Sequence[str], left: str, right: str) -> Column:
+    """Null-safe equality of the columns of two aliased frames."""
+    return all_of([F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}")) for c in names] or [F.lit(True)])
+
+
+def ranged_values(values: DataFrame, by: Sequence[str], x: str, draw: str, n: Column) -> DataFrame:
+    """Add ``__part``: the range of x in its group, numbered in order of x; odd ones hold one value only.
+
+    ``draw`` names the column whose hash draws the sample, ``n`` says how many rows a row stands
+    for.  A value that fills much of a group is itself a cut, and every cut is a range of its own.
+    """
+    sizes = values.groupBy(*by).agg(F.sum(n).alias("__size")).filter(F.col("__size") > RANGE_VALUES)
+    drawn = values.alias("v").join(sizes.alias("s"), _equal(by, "v", "s")).filter(
+        F.pmod(F.xxhash64(f"v.{draw}"), F.col("__size")) < SAMPLED * n
+    )
+    keys = [F.col(f"v.{c}").alias(c) for c in by]
+    lists = drawn.select(*keys, F.col(f"v.{x}").alias("__x"), "__size").groupBy(*by).agg(
+        F.sort_array(F.collect_list("__x")).alias("__all"), F.max("__size").alias("__size")
+    ).filter("__size is not null")
+    ranges = F.least(F.lit(RANGES), F.ceil(F.col("__size") / RANGE_VALUES)).cast("int")
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.col("__ranges") - 1),
+        lambda i: F.get(F.col("__all"), F.floor(i * F.size("__all") / F.col("__ranges")).cast("int")),
+    )
+    lists = lists.withColumn("__ranges", ranges).select(*by, F.array_distinct(cuts).alias("__cuts"))
+    v = F.col(f"v.{x}")
+    under = F.size(F.filter("__cuts", lambda c: c < v))
+    at = F.when(F.col("__cuts").isNull(), 0).otherwise(2 * under + F.array_contains("__cuts", v).cast("int"))
+    found = values.alias("v").join(lists.alias("c"), _equal(by, "v", "c"), "left")
+    return found.select("v.*", at.alias("__part"))
+
+
+def _before(ranged: DataFrame, by: Sequence[str], n: Column) -> DataFrame:
+    """Per range of a group: ``__before`` (rows in lower ranges), ``__held`` (its own) and ``total`` (the group's)."""
+    along = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("__part")
+    whole = Window.partitionBy(*by) if by else Window.partitionBy()
+    return (
+        ranged.groupBy(*by, "__part")
+        .agg(F.sum(n).alias("__held"))
+        .select(
+            *by,
+            "__part",
+            "__held",
+            (F.sum("__held").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__held")).alias("__before"),
+            F.sum("__held").over(whole).alias("total"),
+        )
+    )
+
+
 def value_ranks(df: DataFrame, by: Sequence[str], x: str, extra: dict[str, Column] | None = None) -> DataFrame:
     """One row per distinct non-null value of each group.
 
@@ -45,35 +96,15 @@ def value_ranks(df: DataFrame, by: Sequence[str], x: str, extra: dict[str, Colum
         df.filter(F.col(x).isNotNull())
         .groupBy(*by, x)
         .agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in extra.items()])
-        .withColumn("__bucket", order_bucket(F.col(x)))
-    )
-    # Span and number of values of each bucket: bounded by the number of buckets, not by the rows.
-    shape = counted.groupBy(*by, "__bucket").agg(
-        F.min(x).alias("__low"), F.max(x).alias("__high"), F.ceil(F.count(F.lit(1)) / RANGE_VALUES).alias("__ranges")
-    )
-    part = F.floor((F.col(x) - F.col("__low")) / (F.col("__high") - F.col("__low")) * F.col("__ranges"))
-    part = F.when(F.col("__high") > F.col("__low"), F.least(part, F.col("__ranges") - 1)).otherwise(0).cast("long")
-    keys = [*by, "__bucket", "__part"]
-    values = counted.join(shape, [*by, "__bucket"]).withColumn("__part", part).drop("__low", "__high", "__ranges")
-    # Hash by all keys, or a crowded bucket would stay in the task its join put it in.
-    values = values.repartition(*keys)
-    along = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("__bucket", "__part")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy()
-    base = (
-        values.groupBy(*keys)
-        .agg(F.sum("n").alias("__bn"))
-        .select(
-            *keys,
-            F.coalesce(F.sum("__bn").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-            F.sum("__bn").over(whole).alias("total"),
-        )
     )
-    inside = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    return values.join(base, keys).select(
-        *by,
-        x,
-        "n",
-        (F.col("__before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"),
+    values = ranged_values(counted, by, x, x, F.col("n"))
+    keys = [*by, "__part"]
+    inside = Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("__inside", F.sum("n").over(inside) - F.col("n")).alias("v")
+    base = _before(values, by, F.col("n")).alias("b")
+    return ranked.join(base, _equal(keys, "v", "b")).select(
+        *(F.col(f"v.{c}").alias(c) for c in [*by, x, "n"]),
+        (F.col("__before") + F.col("__inside")).alias("below"),
         "total",
         *extra,
     )
@@ -106,19 +137,27 @@ def with_ranks(
 ) -> DataFrame:
     """``with_rank`` for many columns: output name -> input name."""
     by = list(by)
-    # The input feeds the counts and the join back: compute it once, as a table.
+    # The input feeds the sizes, the ranges and the join back: compute it once, as a table.
     rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "ranked")
-    rank = average_rank() / F.col("total") if pct else average_rank()
-    if len(columns) == 1:
-        [(out, x)] = columns.items()
-        ranks = value_ranks(rows, by, x).select(*by, x, rank.alias(out))
-        return rows.join(ranks, [*by, x], "left").drop("__row")
-    # All columns in one long pass: one ranking, one join, one aggregate back to rows.
-    cells = F.array(*[F.struct(F.lit(out).alias("__f"), F.col(x).cast("double").alias("__x")) for out, x in columns.items()])
-    long = rows.select("__row", *by, F.explode(cells).alias("c")).select("__row", *by, "c.*").filter("__x is not null")
-    ranks = value_ranks(long, [*by, "__f"], "__x").select(*by, "__f", "__x", rank.alias("__k"))
-    ranked = long.join(ranks, [*by, "__f", "__x"])
-    wide = ranked.groupBy("__row").agg(*[F.max(F.when(F.col("__f") == out, F.col("__k"))).alias(out) for out in columns])
+    # All columns in one long pass: one ranking, one aggregate back to rows.
+    cells = F.array(*[F.struct(F.lit(i).alias("__f"), F.col(x).cast("double").alias("__x")) for i, x in enumerate(columns.values())])
+    long = rows.select("__row", *by, F.inline(cells)).filter("__x is not null")
+    group = [*by, "__f"]
+    ranged = ranged_values(long, group, "__x", "__row", F.lit(1))
+    base = _before(ranged, group, F.lit(1)).alias("b")
+    # A range of one value needs no sort, so its rows are dealt to many tasks.
+    single = F.col("__part") % 2 == 1
+    ranged = ranged.withColumn("__share", F.when(single, F.pmod(F.xxhash64("__row"), F.lit(RANGES))).otherwise(0))
+    held = Window.partitionBy(*group, "__part", "__share").orderBy("__x")
+    ranged = ranged.withColumns({"__rank": F.rank().over(held), "__upto": F.count(F.lit(1)).over(held)}).alias("v")
+    n = F.when(F.col("v.__part") % 2 == 1, F.col("__held")).otherwise(F.col("__upto") - F.col("__rank") + 1)
+    rank = F.col("__before") + F.when(F.col("v.__part") % 2 == 1, 1).otherwise(F.col("__rank")) + (n - 1) / F.lit(2.0)
+    ranked = ranged.join(base, _equal([*group, "__part"], "v", "b")).select(
+        "__row", F.col("v.__f").alias("__f"), (rank / F.col("total") if pct else rank).alias("__k")
+    )
+    wide = ranked.groupBy("__row").agg(
+        *[F.max(F.when(F.col("__f") == i, F.col("__k"))).alias(out) for i, out in enumerate(columns)]
+    )
     return rows.join(wide, "__row", "left").drop("__row")
 
 

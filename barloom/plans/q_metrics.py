@@ -11,6 +11,7 @@ from barloom.operators import bands as D
 from barloom.operators import labels as L
 from barloom.operators import metrics as M
 from barloom.operators import splits as S
+from barloom.operators.bootstrap import bootstrap_auc_gap, poisson_steps
 from barloom.operators.ranking import with_ordinal
 from barloom.plans.registry import query, rounded
 from barloom.session import materialize
@@ -323,9 +324,32 @@ def e15(spark, sf_dir):
     return rounded(M.compare_tables(b, a), ["horizon"])
 
 
-@query("e16_bootstrap_auc_gap")
+def _drawn(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 12) AS BIGINT)"
+
+
+_W = " + ".join(f"CAST(u >= {t!r}::DOUBLE AS INTEGER)" for t in poisson_steps())
+_E16_REPS = f"rp AS (SELECT range AS rep, {_drawn("'0:' || range || ':a'")} % 2147483646 + 1 AS fa, {_drawn("'0:' || range || ':b'")} % 2147483647 AS fb FROM range(1000))"
+
+
+def _e16_auc(score: str) -> str:
+    return f"""SELECT rep, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos) * sum(neg)) END AS auc FROM (
+ SELECT *, sum(neg) OVER (PARTITION BY rep ORDER BY {score}) - neg AS below FROM (
+ SELECT rep, {score}, CAST(sum(w * y) AS DOUBLE) AS pos, CAST(sum(w * (1 - y)) AS DOUBLE) AS neg FROM dw GROUP BY 1, 2)) GROUP BY 1"""
+
+
+@query(
+    "e16_bootstrap_auc_gap",
+    f"""WITH {SCORED}, {_E16_REPS}, h AS (SELECT *, {_drawn("CAST(doc_id AS VARCHAR)")} % 2147483647 AS h FROM sc WHERE y IS NOT NULL AND p IS NOT NULL AND q IS NOT NULL),
+ dr AS (SELECT rep, y, p, q, CAST((h * fa + fb) % 2147483647 AS DOUBLE) / 2147483647 AS u FROM h CROSS JOIN rp),
+ dw AS MATERIALIZED (SELECT rep, y, p, q, {_W} AS w FROM dr),
+ g AS (SELECT coalesce(x.auc - z.auc, 0) AS gap FROM ({_e16_auc('p')}) x JOIN ({_e16_auc('q')}) z USING (rep)),
+ o AS (SELECT (SELECT auc FROM ({_auc_sql('y', 'p', 'h')})) - (SELECT auc FROM ({_auc_sql('y', 'q', 'h')})) AS gap)
+ SELECT round((SELECT gap FROM o), 6) AS gap, round(quantile_cont(gap, 0.025), 6) AS lo, round(quantile_cont(gap, 0.975), 6) AS hi,
+ least(2 * least(avg(CAST(gap <= 0 AS INTEGER)), avg(CAST(gap >= 0 AS INTEGER))), 1.0::DOUBLE) AS p_value FROM g""",
+)
 def e16(spark, sf_dir):
-    return M.bootstrap_auc_gap(scored(spark, sf_dir), "y", "p", "q", ["doc_id"], 1000)
+    return rounded(bootstrap_auc_gap(scored(spark, sf_dir), "y", "p", "q", ["doc_id"], 1000), ["p_value"])
 
 
 @query(

@@ -6,12 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import bands as D
+from barloom.operators import bootstrap
 from barloom.operators import cleaning as C
 from barloom.operators import context as X
 from barloom.operators import infotheory as I
 from barloom.operators import labels as L
 from barloom.operators import metrics as M
 from barloom.operators import models as Z
+from barloom.operators import ranking
 from barloom.operators import sequences as Q
 from barloom.operators import splits as S
 from barloom.operators import technicals as T
@@ -121,14 +123,61 @@ def test_simple_metrics(spark):
     assert d.agg(M.directional_accuracy(F.col("y"), F.col("p"))).first()[0] == 1.0
 
 
-def test_bootstrap_gap_is_stable(spark):
+@pytest.mark.parametrize("held", [16_384, 20])
+def test_bootstrap_gap_equals_weighted_aucs(spark, monkeypatch, held):
+    """Scores with ties, ranges of any size: each replicate is the AUC of rows repeated by their weights."""
+    monkeypatch.setattr(ranking, "RANGE_VALUES", held)
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 400)
-    p = pd.DataFrame({"i": range(400), "y": y, "a": y + rng.normal(0, 0.5, 400), "b": rng.normal(size=400)})
-    row = M.bootstrap_auc_gap(spark.createDataFrame(p), "y", "a", "b", ["i"], 100).first()
+    a = np.where(rng.random(400) < 0.4, 0.5, y + rng.normal(0, 0.5, 400))
+    p = pd.DataFrame({"i": range(400), "y": y, "a": a, "b": rng.normal(size=400)})
+    row = bootstrap.bootstrap_auc_gap(spark.createDataFrame(p), "y", "a", "b", ["i"], 100).first()
     assert row.lo < row.gap < row.hi and row.lo > 0 and row.p_value < 0.05
-    again = M.bootstrap_auc_gap(spark.createDataFrame(p).repartition(5), "y", "a", "b", ["i"], 100).first()
-    assert again.lo == pytest.approx(row.lo)
+    h = np.array([bootstrap._number(str(i)) % bootstrap.PRIME for i in p.i])
+    gaps, weights = [], []
+    for r in range(100):
+        u = [(int(x) * (bootstrap._number(f"0:{r}:a") % (bootstrap.PRIME - 1) + 1) + bootstrap._number(f"0:{r}:b")) % bootstrap.PRIME for x in h]
+        w = np.array([sum(x / bootstrap.PRIME >= t for t in bootstrap.poisson_steps()) for x in u], dtype=float)
+        up, down = w * y, w * (1 - y)
+        auc = lambda s: (np.outer(up, down) * ((s[:, None] > s) + (s[:, None] == s) / 2)).sum() / up.sum() / down.sum()  # noqa: E731, B023
+        gaps.append(auc(a) - auc(p.b.values))
+        weights.append(w)
+    assert (row.lo, row.hi) == pytest.approx(tuple(np.percentile(gaps, [2.5, 97.5])))
+    assert abs(np.mean(weights) - 1) < 0.02 and abs(np.var(weights) - 1) < 0.05
+    again = bootstrap.bootstrap_auc_gap(spark.createDataFrame(p).repartition(5), "y", "a", "b", ["i"], 100).first()
+    assert again == row
+
+
+@pytest.mark.parametrize("held", [16_384, 50])
+def test_ranks_of_hot_groups_ties_and_slivers(spark, monkeypatch, held):
+    """One group holds most rows, one value a third of them, and a third lie within 1e-13 of each other."""
+    monkeypatch.setattr(ranking, "RANGE_VALUES", held)
+    monkeypatch.setattr(ranking, "SAMPLED", 400)
+    rng = np.random.default_rng(0)
+    n = 6000
+    g = np.where(rng.random(n) < 0.6, "hot", rng.choice(list("abc"), n)).astype(object)
+    g[:300] = None
+    x = rng.normal(size=n)
+    x[rng.random(n) < 0.3] = 0.5
+    sliver = rng.random(n) < 0.3
+    x[sliver] = 1 + rng.random(sliver.sum()) * 1e-13
+    x[rng.random(n) < 0.05] = np.nan
+    p = pd.DataFrame({"i": range(n), "g": g, "x": x, "y": rng.integers(0, 5, n).astype(float)})
+    df = spark.createDataFrame(p).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
+    got = ranking.with_ranks(df, ["g"], {"rx": "x", "ry": "y"}).toPandas().sort_values("i")
+    p["k"] = p.g.fillna("~")
+    for c in "xy":
+        np.testing.assert_allclose(got["r" + c].to_numpy(float), p.groupby("k")[c].rank(pct=True).to_numpy())
+    values = ranking.value_ranks(df, ["g"], "x").toPandas()
+    assert len(values) == p.dropna(subset="x").groupby("k").x.nunique().sum()
+    hot, at = np.sort(p[p.k == "hot"].x.dropna().to_numpy()), values[values.g == "hot"]
+    assert (np.searchsorted(hot, at.x) == at.below).all() and (at.total == len(hot)).all()
+    assert (np.searchsorted(hot, at.x, side="right") == at.below + at.n).all()
+    assert ranking.value_ranks(df, [], "x").first().total == p.x.notna().sum()
+    if held == 50:  # the sliver alone asks for many ranges
+        parts = ranking.ranged_values(df.filter("g = 'hot' and x > 1 and x < 1.1"), ["g"], "x", "i", F.lit(1))
+        assert parts.groupBy("__part").count().agg(F.max("count")).first()[0] < 400
+    assert ranking.with_ranks(df.limit(0), ["g"], {"rx": "x"}).count() == 0
 
 
 def test_conformal_delta(spark):
