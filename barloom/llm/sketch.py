@@ -8,6 +8,8 @@ estimates containment, and the sketch of a union is the union of the sketches.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,23 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda v: F.lower(F.hex(v))), ",")
 
 
+def _upto(cuts: list[float], x: Column) -> Column:
+    """How many of the sorted ``cuts`` are at most x: first among every k-th of them, then in the k that follow.
+
+    With k the root of their number, a row meets two short lists and not every cut.
+    """
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    every, heads = F.lit(cuts), F.lit(cuts[::step])
+
+    def inside(block: Column) -> Column:
+        low = (block - 1) * step
+        return low + F.size(F.filter(F.slice(every, low + 1, F.lit(step)), lambda c: c <= x))
+
+    return bind(F.size(F.filter(heads, lambda c: c <= x)), lambda b: F.when(b == 0, 0).otherwise(inside(b)))
+
+
 def with_next(df: DataFrame, id_col: str, carry: list[str], tie: str, per_partition: int = 4) -> DataFrame:
     """Add ``next_<c>`` for each column of ``carry``: its value in the row with the next id.
 
@@ -81,8 +100,7 @@ def with_next(df: DataFrame, id_col: str, carry: list[str], tie: str, per_partit
     ranges = per_partition * partitions(df)
     steps = [i / ranges for i in range(1, ranges)]
     cuts = sorted(set(df.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", steps, 0.25 / ranges)))
-    known = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(id_col).cast("double"))) + 1
-    home = F.when(F.col(id_col).isNull(), 0).otherwise(known if cuts else F.lit(1))
+    home = F.when(F.col(id_col).isNull(), 0).otherwise(_upto(cuts, F.col(id_col).cast("double")) + 1)
 
     # One row a range, so this is as short as the list of cuts.
     opens = dict(df.groupBy(home.alias("home")).agg(F.min(id_col).alias("low")).collect())

@@ -124,6 +124,22 @@ def test_rows_without_or_with_equal_ids_follow_each_other(spark):
     assert got == len(rows)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 9, 10, 50])
+def test_ranges_of_ids_are_found_among_the_cuts(spark, n):
+    cuts = [float(3 * i) for i in range(n)]
+    df = spark.range(-2, 160).withColumn("at", sketch._upto(cuts, F.col("id").cast("double")))
+    assert all(r["at"] == sum(c <= r["id"] for c in cuts) for r in df.collect())
+
+
+def test_next_rows_across_many_ranges(spark):
+    rng = random.Random(8)
+    ids = rng.sample(range(10_000), 700)
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, text string").repartition(7)
+    got = {r["id"]: r["next_text"] for r in sketch.with_next(df, "id", ["text"], "text", per_partition=30).collect()}
+    ids.sort()
+    assert got == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1])}
+
+
 def test_sketches_estimate_containment_and_merge(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6000)]
