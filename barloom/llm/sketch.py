@@ -131,7 +131,7 @@ def with_next(df: DataFrame, id_col: str, carry: list[str], tie: str, per_partit
 
 
 def edited_likeness(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = 1
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = 2
 ) -> DataFrame:
     """Sketches of each text, of its edited form and of the next text, and how alike they are.
 
