@@ -1,10 +1,14 @@
 """Steps that must not be repeated or multiplied as tables grow, and the results that must stay."""
 
 import datetime
+import itertools
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import context as X
 from barloom.operators import models as Z
 from barloom.plans import q_models, q_panels
 
@@ -30,3 +34,40 @@ def test_bias_variance_shuffles_the_scores_of_all_rounds_once(spark):
     assert "Union" not in plan(out)
     row = out.first()
     assert 0 < row.variance < 0.05 and 0.2 < row.total < 0.3
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_pairs_are_finished_in_the_tasks_of_their_tiles(spark, monkeypatch, text):
+    for name, size in (("TILE", 6), ("BLOCK_A", 2), ("BLOCK_B", 3)):
+        monkeypatch.setattr(X, name, size)
+    rng, series = random.Random(5), {}
+    for k in range(31):
+        days = rng.sample(range(40), rng.randrange(0, 30))
+        series[f"t{k}" if text else k] = {d: 1.0 if k == 7 else rng.gauss(0, 1) for d in days}
+    first = datetime.date(2020, 1, 1)
+    rows = [(t, first + datetime.timedelta(d), x) for t, s in series.items() for d, x in s.items()]
+    rows += [(None, first, 1.0), (next(iter(series)), first + datetime.timedelta(50), None)]
+    df = spark.createDataFrame(rows, f"ticker {'string' if text else 'int'}, date date, r double")
+    out = X.pair_correlation(df, "r")
+    assert "Aggregate" not in plan(out) and "Window" not in plan(out)
+    found = {(r.a, r.b): (r.n, r.rho) for r in out.collect()}
+    expect = {}
+    for a, b in itertools.combinations(sorted(series), 2):
+        both = sorted(series[a].keys() & series[b].keys())
+        if both:
+            x, y = ([series[t][d] for d in both] for t in (a, b))
+            expect[a, b] = (len(both), np.corrcoef(x, y)[0, 1] if len(both) > 1 and np.std(x) and np.std(y) else None)
+    assert found.keys() == expect.keys() and out.count() == len(expect)
+    for pair, (n, rho) in expect.items():
+        assert found[pair][0] == n and (found[pair][1] is None if rho is None else abs(found[pair][1] - rho) < 1e-9)
+    assert X.pair_correlation(df.limit(0), "r").count() == 0
+
+
+def test_silhouettes_leave_the_pairs_where_they_lie(spark):
+    pairs = spark.range(400).select((F.col("id") % 20).cast("int").alias("a"), (F.col("id") / 20).cast("int").alias("b"), F.rand(1).alias("rho"))
+    dist = X.pair_distance(pairs.filter("a < b"))
+    clusters = spark.range(20).select(F.col("id").cast("int").alias("a"), (F.col("id") % 3).alias("cluster")).join(spark.range(1).toDF("one"))
+    assert "Union" not in plan(dist) and dist.count() == 380
+    names = X.silhouettes(dist, clusters.select(F.lit(0).alias("k"), "a", "cluster"))
+    text = names._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
