@@ -14,7 +14,7 @@ from barloom.operators import metrics as M
 from barloom.operators.ranking import with_ranks
 from barloom.plans.registry import query, rounded
 from barloom.plans.sqltext import DAILY, OVER, SECTOR, WIDE, lag, lead, r, rank_pct
-from barloom.session import scratch_path
+from barloom.session import materialize, scratch_path
 from barloom.sources import bars as S
 from barloom.sources import news as N
 from barloom.sources.datasets import daily_panel, sector_map, table, wide_panel
@@ -213,21 +213,25 @@ _STF = f"""w1 AS MATERIALIZED (SELECT ticker, date, ln(close) - {lag('ln(close)'
   UNION ALL SELECT ticker, date, a, b, 5, CASE WHEN {rank_pct('f5', 'date')} <= 0.2::DOUBLE THEN 0 WHEN {rank_pct('f5', 'date')} >= 0.8::DOUBLE THEN 1 END FROM w1 WHERE b IS NOT NULL AND f5 IS NOT NULL)"""
 
 
-def store_rows(spark, sf_dir, horizon: int):
+def store_rows(spark, sf_dir, *horizons: int):
+    """Rows of each horizon with their label, as tables: panel and ranks are worked out once, however often they are written."""
     ax = L.DAILY
     c = F.col("close")
-    df = wide_panel(spark, sf_dir).select(
-        *KEY, ax.log_return(c).alias("a"), (c / ax.lag(c, 5) - 1).alias("b"), L.forward_return(horizon).alias("fwd")
-    )
-    df = df.dropna("any", subset=["b", "fwd"])
-    return L.top_bottom_by_rank(df, "fwd")
+    ahead = [L.forward_return(h).alias(f"fwd{h}") for h in horizons]
+    df = wide_panel(spark, sf_dir).select(*KEY, ax.log_return(c).alias("a"), (c / ax.lag(c, 5) - 1).alias("b"), *ahead)
+    df = materialize(df.filter("b is not null"), "store-panel")
+    out = []
+    for h in horizons:
+        rows = df.select(*KEY, "a", "b", F.col(f"fwd{h}").alias("fwd")).dropna("any", subset=["b", "fwd"])
+        out.append(materialize(L.top_bottom_by_rank(rows, "fwd").drop("fwd"), "store-rows"))
+    return out
 
 
 def filled_store(spark, sf_dir) -> FeatureStore:
     """Horizon 5 is written twice; the second batch negates a and must win."""
     store = FeatureStore(spark, scratch_path(spark, "store"))
-    store.upsert(store_rows(spark, sf_dir, 1), ["a", "b"], "label", 1)
-    five = store_rows(spark, sf_dir, 5)
+    one, five = store_rows(spark, sf_dir, 1, 5)
+    store.upsert(one, ["a", "b"], "label", 1)
     store.upsert(five, ["a", "b"], "label", 5)
     store.upsert(five.withColumn("a", -F.col("a")), ["a", "b"], "label", 5)
     return store

@@ -132,8 +132,8 @@ def stream_ledger(spark, sf_dir):
 def compacted(spark, sf_dir):
     """Batches per half-decade and a correcting one, merged into one batch; the replaced files are removed."""
     store = FeatureStore(spark, scratch_path(spark, "store"))
-    store.upsert(store_rows(spark, sf_dir, 1), ["a", "b"], "label", 1)
-    five = store_rows(spark, sf_dir, 5)
+    one, five = store_rows(spark, sf_dir, 1, 5)
+    store.upsert(one, ["a", "b"], "label", 1)
     for low, high in (("1900-01-01", "1996-01-01"), ("1996-01-01", "2100-01-01")):
         part = five.filter((F.col("date") >= low) & (F.col("date") < high))
         store.upsert(part, ["a", "b"], "label", 5)

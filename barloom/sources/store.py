@@ -15,8 +15,9 @@ import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.bands import LEDGER_KEY, as_ledger, dedupe_last
@@ -33,11 +34,13 @@ def _batch_id() -> str:
 
 @dataclass(frozen=True)
 class Batch:
-    """A committed batch: its folder, the first and last date and rows per horizon, and the batches it stands for."""
+    """A committed batch: its folder, the first and last date and rows per horizon, the batches it stands for, and
+    whether each key is in it once."""
 
     name: str
     spans: dict[int, tuple[str, str, int]]
     replaces: tuple[str, ...] = ()
+    unique: bool = False
 
 
 class FeatureStore:
@@ -57,36 +60,56 @@ class FeatureStore:
             if name.endswith(".json"):
                 told = json.loads(files.read(f"{folder}/{name}"))
                 spans = {int(h): tuple(s) for h, s in told["spans"].items()}
-                found.append(Batch(told["name"], spans, tuple(told["replaces"])))
+                found.append(Batch(told["name"], spans, tuple(told["replaces"]), told.get("unique", False)))
         gone = {old for b in found for old in b.replaces}
         return [b for b in found if b.name not in gone]
 
     def _write(self, rows: DataFrame, replaces: Sequence[str] = (), name: str | None = None) -> None:
-        """Write ``rows`` as a batch and commit it; sorted by date in files of one horizon and month."""
-        name = name or _batch_id()
+        """Write ``rows`` as a batch and commit it; sorted by date in files of one horizon and month, one row per key.
+
+        All rows of a key meet in the task that writes their month, so keeping one of them needs no
+        further shuffle.  Rows of a new batch get its name there.
+        """
+        fresh, name = "batch" not in rows.columns, name or _batch_id()
         at = f"{self.path}/data/commit={name}"
-        month = F.trunc("date", "month")
-        dealt = rows.withColumn("month", month).repartition("horizon", "month").sortWithinPartitions("horizon", "month", "date")
+        dealt = rows.withColumn("month", F.trunc("date", "month")).repartition("horizon", "month")
+        one = Window.partitionBy("horizon", "month", "date", "ticker").orderBy("vec", "label")
+        dealt = dealt.withColumn("__rn", F.row_number().over(one)).filter("__rn = 1").drop("__rn")
+        dealt = dealt.sortWithinPartitions("horizon", "month", "date")
+        if fresh:
+            dealt = dealt.withColumn("batch", F.lit(name))
         dealt.write.mode("errorifexists").partitionBy("horizon", "month").parquet(at)
         spans = {}
         if any(n.startswith("horizon=") for n in files.names(at)):
             written = self.spark.read.parquet(at).groupBy("horizon")
             told = written.agg(F.min("date").alias("low"), F.max("date").alias("high"), F.count(F.lit(1)).alias("n")).collect()
             spans = {r["horizon"]: [str(r["low"]), str(r["high"]), r["n"]] for r in told}
-        text = json.dumps({"name": name, "spans": spans, "replaces": list(replaces)})
+        text = json.dumps({"name": name, "spans": spans, "replaces": list(replaces), "unique": True})
         files.write(f"{self.path}/manifests/{name}.json", text)
 
-    def _read(self, horizon: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
-        """Rows of the batches that can hold rows of the horizon and of start <= date < end, every version."""
+    def _newest(self, horizon: int | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+        """The newest row per key; a horizon that lies in one batch of unique keys is read as it is."""
         live = self.batches()
         if not live:
             raise FileNotFoundError(f"empty feature store: {self.path}")
+        levels = {h for b in live for h in b.spans} if horizon is None else {horizon}
+        held = {h: [b for b in live if h in b.spans] for h in levels}
+        plain = {h for h, found in held.items() if len(found) == 1 and found[0].unique}
+        parts = []
+        if plain:
+            parts.append(self._read(live, plain, start, end))
+        if levels - plain or not plain:
+            parts.append(dedupe_last(self._read(live, levels - plain, start, end), "batch", KEY))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _read(self, live: Sequence[Batch], horizons: set[int], start: str | None = None, end: str | None = None) -> DataFrame:
+        """Rows of the batches that can hold rows of the horizons and of start <= date < end, every version."""
         wanted = lambda low, high: (start is None or high >= start) and (end is None or low < end)
         paths = [
             f"{self.path}/data/commit={b.name}/horizon={h}"
             for b in live
             for h, (low, high, _) in b.spans.items()
-            if (horizon is None or h == horizon) and wanted(low, high)
+            if h in horizons and wanted(low, high)
         ]
         if not paths:
             return self.spark.createDataFrame([], ROW)
@@ -111,7 +134,6 @@ class FeatureStore:
             F.array(*[F.col(f).cast("double") for f in features]).alias("vec"),
             F.col(label).cast("byte").alias("label"),
             level.cast("short").alias("horizon"),
-            F.lit(name).alias("batch"),
         )
         self._write(rows, name=name)
 
@@ -125,7 +147,7 @@ class FeatureStore:
         live = self.batches()
         if len(live) < least:
             return False
-        self._write(dedupe_last(self._read(), "batch", KEY), [b.name for b in live])
+        self._write(self._newest(), [b.name for b in live])
         return True
 
     def vacuum(self) -> int:
@@ -138,7 +160,7 @@ class FeatureStore:
         return len(gone)
 
     def current(self) -> DataFrame:
-        return dedupe_last(self._read(), "batch", KEY).drop("batch")
+        return self._newest().drop("batch")
 
     def load_range(
         self, horizon: int, start: str | None = None, end: str | None = None, label_only: bool = True
@@ -147,7 +169,7 @@ class FeatureStore:
 
         Only batches and months that overlap the range are opened.
         """
-        out = dedupe_last(self._read(horizon, start, end), "batch", KEY).drop("batch")
+        out = self._newest(horizon, start, end).drop("batch")
         return out.filter("label is not null") if label_only else out
 
     def load_all(self, horizon: int) -> DataFrame:
