@@ -4,13 +4,15 @@ A radius of 64-bit fingerprints cannot state a similarity of 0.8: such pairs dif
 about 10 bits and up to 20.  The work in order:
 
 1. Texts of equal shingle sets collapse to one row first, so copies cost nothing later.
-2. Min-hashes in ``BANDS`` bands of ``WIDTH``: a pair of similarity s has an equal band with
+2. SimHash fingerprints of the texts are linked at ``RADIUS`` bits or fewer by the pivot tables of
+   ``simhash.links``; texts of one fingerprint component are candidates of each other.
+3. Beyond that radius candidates come from min-hashes in ``BANDS`` bands of ``WIDTH``: a pair of similarity s has an equal band with
    probability 1 - (1 - s^WIDTH)^BANDS, at s = 0.8 all but 5 in a million pairs.  Texts that
-   meet in a band, directly or through others, form a candidate group.
-3. A group is walked in one task, which holds its shingle sets; large groups are cut
+   meet in a band or a fingerprint component, directly or through others, form a candidate group.
+4. A group is walked in one task, which holds its shingle sets; large groups are cut
    into chunk pairs.  Links are verified by exact set sizes, and a spanning forest of them is
    reported, never all pairs of a dense group.
-4. Components come from rounds of minima over the verified links (see ``components``).
+5. Components come from rounds of minima over the verified links (see ``components``).
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import simhash
 from barloom.llm.common import partitions, ship, small_batches
 from barloom.llm.components import components
 from barloom.llm.simhash import cells, hashes
@@ -32,6 +35,7 @@ from barloom.session import materialize
 ship(__name__)
 
 BANDS, WIDTH = 52, 7
+RADIUS = 4
 _draw = np.random.default_rng(11)
 # Odd factors and offsets of the hash functions, and factors that join the min-hashes of a band.
 FACTORS = _draw.integers(0, 2**32, BANDS * WIDTH, dtype=np.uint32) | np.uint32(1)
@@ -98,20 +102,22 @@ def _walked(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> li
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, key, fp, bands): hash of the text, hash of its shingle set, band keys."""
+    """(id, key, fp, mark, bands): hash of the text, hash of its shingle set, SimHash fingerprint, band keys."""
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
             fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
+            mark = pa.array([simhash.fingerprint(t.as_py(), width) for t in batch.column(2)], pa.int64())
             bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), bands], names=["id", "key", "fp", "bands"]
+                [batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), mark, bands],
+                names=["id", "key", "fp", "mark", "bands"],
             )
 
     some = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    return some.mapInArrow(run, f"id {id_type}, key long, fp long, bands array<long>")
+    return some.mapInArrow(run, f"id {id_type}, key long, fp long, mark long, bands array<long>")
 
 
 def _links(members: DataFrame, parts: int, width: int, similarity: Fraction) -> DataFrame:
@@ -142,6 +148,14 @@ def _links(members: DataFrame, parts: int, width: int, similarity: Fraction) ->
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _marked(sets: DataFrame) -> DataFrame:
+    """(fp, band): sets of one component of fingerprints, linked by pivot tables, have one key."""
+    near = components(simhash.links(sets.select(F.col("mark").alias("fp")).distinct(), RADIUS), "a", "b")
+    found = sets.select("fp", "mark").join(near, F.col("mark") == F.col("node"), "left")
+    band = F.xxhash64(F.lit("fingerprint"), F.coalesce("root", "mark"))
+    return materialize(found.select("fp", band.alias("band")), "jaccard-marks")
+
+
 def keep_one(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -152,6 +166,7 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``df``, all columns, with one row for each near-duplicate group: the smallest id.
 
+    Candidates are found by SimHash fingerprints and, further apart, by min-hash bands; each link is then checked exactly.
     Two texts link if their sets of ``width``-word shingles have a Jaccard similarity of at least
     ``similarity`` (0.8 or more); a group is what hangs together by links.  Null, empty and wordless
     texts have equal sets.  Rows without an id take part and stay.  Rows that repeat the
@@ -165,11 +180,11 @@ def keep_one(
     named = F.struct("id", "key")
     sets = materialize(
         rows.groupBy("fp").agg(
-            F.min(F.when(F.col("id").isNotNull(), named)).alias("best"), F.min(named).alias("any"), F.first("bands").alias("bands")
+            F.min(F.when(F.col("id").isNotNull(), named)).alias("best"), F.min(named).alias("any"), F.min("mark").alias("mark"), F.first("bands").alias("bands")
         ),
         "jaccard-sets",
     )
-    filed = sets.select("fp", F.explode("bands").alias("band"))
+    filed = sets.select("fp", F.explode("bands").alias("band")).unionByName(_marked(sets))
     heads = filed.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1")
     groups = components(filed.join(heads, "band").select("fp", "head"), "fp", "head")
     units = cells(groups.select(F.col("node").alias("fp"), F.col("root").alias("unit")), unit_rows)

@@ -19,7 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group (five-word shingles, Jaccard similarity of 0.8 or more) stays."""
+    """The smallest doc_id of each near-duplicate group stays.
+
+    SimHash fingerprints of five-word shingles, linked by pivot tables, and min-hash bands for pairs that fingerprints
+    do not bring together name candidates; an exact check keeps links of Jaccard similarity 0.8 or more.
+    """
     return jaccard.keep_one(docs, width=5, similarity=0.8)
 
 
