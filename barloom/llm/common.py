@@ -80,6 +80,26 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+# Bits of a sieve: 1024 bitmaps of 4 kB, however many keys there are.
+SIEVE_BITS = 2**25
+
+
+def sieved(df: DataFrame, keys: DataFrame, *names: str, out: str = "__maybe") -> DataFrame:
+    """Add ``out``: false only for rows whose values of the columns ``names`` are in no row of ``keys``.
+
+    Each key sets one of ``SIEVE_BITS`` bits, so what is broadcast does not grow with the tables; with very many keys
+    more rows pass by chance.  A join with ``keys`` still has to decide about rows that pass, but need not move the others.
+    """
+    slot = F.pmod(F.xxhash64(*names), F.lit(SIEVE_BITS)) + 1
+    bitmap = F.bitmap_construct_agg(F.bitmap_bit_position("__slot")).alias("__bits")
+    bits = keys.select(slot.alias("__slot")).groupBy(F.bitmap_bucket_number("__slot").alias("__bucket")).agg(bitmap)
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substr("__bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(bits), F.bitmap_bucket_number(slot) == F.col("__bucket"), "left")
+    return joined.select(*df.columns, found.alias(out))
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions a shuffle of this session uses."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -3,7 +3,7 @@
 A radius of 64-bit fingerprints cannot state a similarity of 0.8: such pairs differ in
 about 10 bits and up to 20.  The work in order:
 
-1. Texts of equal shingle sets collapse to one row first, so copies cost nothing later.
+1. Texts of equal shingle sets collapse to one row first, and a task names the bands of a set once, so copies cost little later.
 2. SimHash fingerprints of the texts are linked at ``RADIUS`` bits or fewer by the pivot tables of
    ``simhash.links``; texts of one fingerprint component are candidates of each other.
 3. Beyond that radius candidates come from min-hashes in ``BANDS`` bands of ``WIDTH``: a pair of similarity s has an equal band with
@@ -13,6 +13,9 @@ about 10 bits and up to 20.  The work in order:
    into chunk pairs.  Links are verified by exact set sizes, and a spanning forest of them is
    reported, never all pairs of a dense group.
 5. Components come from rounds of minima over the verified links (see ``components``).
+
+Texts and bands are by far the largest rows.  Before a join that most of them cannot meet, or whose outcome is
+already certain for them, ``sieved`` sets them aside, so only the others are shuffled.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import simhash
-from barloom.llm.common import partitions, ship, small_batches
+from barloom.llm.common import partitions, ship, sieved, small_batches
 from barloom.llm.components import components
-from barloom.llm.simhash import cells, hashes
+from barloom.llm.simhash import cells, hashes, majority
 from barloom.session import materialize
 
 ship(__name__)
 
 BANDS, WIDTH = 52, 7
 RADIUS = 4
+# Sets that a task remembers to have named the bands of.
+SEEN = 500_000
 _draw = np.random.default_rng(11)
 # Odd factors and offsets of the hash functions, and factors that join the min-hashes of a band.
 FACTORS = _draw.integers(0, 2**32, BANDS * WIDTH, dtype=np.uint32) | np.uint32(1)
@@ -102,19 +107,29 @@ def _walked(ids: np.ndarray, sets: list[np.ndarray], similarity: Fraction) -> li
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, key, fp, mark, bands): hash of the text, hash of its shingle set, SimHash fingerprint, band keys."""
+    """(id, key, fp, mark, bands): hash of the text, hash of its shingle set, SimHash fingerprint, band keys.
+
+    Further rows of a set in the same task have no bands.
+    """
     id_type = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(2)]
-            fp = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64)
-            mark = pa.array([simhash.fingerprint(t.as_py(), width) for t in batch.column(2)], pa.int64())
-            bands = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(fp.view(np.int64)), mark, bands],
-                names=["id", "key", "fp", "mark", "bands"],
-            )
+            fps, marks, bands = [], [], []
+            for text in batch.column(2):
+                found = hashes(text.as_py(), width)
+                own = np.unique(found)
+                fp = xxhash.xxh64_intdigest(own.tobytes())
+                fps.append(fp)
+                marks.append(majority(found))
+                bands.append([] if fp in seen else band_keys(own))
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(fp)
+            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            columns = [fp, pa.array(marks, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "key", "fp", "mark", "bands"])
 
     some = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     return some.mapInArrow(run, f"id {id_type}, key long, fp long, mark long, bands array<long>")
@@ -178,29 +193,38 @@ def keep_one(
     small_batches(spark)
     rows = materialize(_rows(df, id_col, text_col, width), "jaccard-rows")
     named = F.struct("id", "key")
+    best = F.min(F.when(F.col("id").isNotNull(), named)).alias("best")
     sets = materialize(
-        rows.groupBy("fp").agg(
-            F.min(F.when(F.col("id").isNotNull(), named)).alias("best"), F.min(named).alias("any"), F.min("mark").alias("mark"), F.first("bands").alias("bands")
-        ),
-        "jaccard-sets",
+        rows.groupBy("fp").agg(best, F.min(named).alias("any"), F.min("mark").alias("mark")), "jaccard-sets"
     )
-    filed = sets.select("fp", F.explode("bands").alias("band")).unionByName(_marked(sets))
-    heads = filed.groupBy("band").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    filed = rows.select("fp", F.explode("bands").alias("band")).unionByName(_marked(sets))
+    heads = filed.groupBy("band").agg(F.min("fp").alias("head"), F.max("fp").alias("last")).filter("head < last")
+    heads = materialize(heads.select("band", "head"), "jaccard-heads")
+    filed = sieved(filed, heads, "band").filter("__maybe").select("fp", "band")
     groups = components(filed.join(heads, "band").select("fp", "head"), "fp", "head")
     units = cells(groups.select(F.col("node").alias("fp"), F.col("root").alias("unit")), unit_rows)
 
     # One row of the table for each set gives the text.
     shown = sets.select("fp", F.coalesce("best", "any").alias("row")).join(units.select("fp").distinct(), "fp")
-    shown = shown.select("fp", F.col("row.id").alias("__id"), F.col("row.key").alias("__key"))
+    shown = materialize(shown.select("fp", F.col("row.id").alias("id"), F.col("row.key").alias("key")), "jaccard-shown")
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    texts = sieved(texts, shown, "id", "key").filter("__maybe")
+    shown = shown.withColumnsRenamed({"id": "__id", "key": "__key"})
     texts = texts.join(shown, (F.col("key") == F.col("__key")) & F.col("id").eqNullSafe(F.col("__id"))).select("fp", "text")
     links = _links(texts.join(units, "fp"), partitions(df), width, Fraction(str(similarity)))
 
     reach = components(links, "a", "b").select(F.col("node").alias("fp"), "root")
     roots = sets.select("fp", "best").join(reach, "fp", "left").select("best", F.coalesce("root", "fp").alias("root"))
     kept = roots.groupBy("root").agg(F.min("best").alias("best")).filter("best is not null")
-    kept = kept.select(F.col("best.id").alias("__id"), F.col("best.key").alias("__key"))
+    kept = materialize(kept.select("best.id", "best.key"), "jaccard-kept")
+    # Rows whose id and text come once and are kept need no join: only names that go or repeat are in doubt.
+    names = rows.filter("id is not null").groupBy("id", "key").agg(F.count("*").alias("n"))
+    names = names.join(kept.withColumn("stays", F.lit(True)), ["id", "key"], "left")
+    doubtful = materialize(names.filter("n > 1 or stays is null").select("id", "key"), "jaccard-doubtful")
+    named = {"id": id_col, "key": "__text_key"}
     keyed = df.withColumn("__text_key", F.xxhash64(text_col))
-    stay = keyed.join(kept, (F.col(id_col) == F.col("__id")) & (F.col("__text_key") == F.col("__key")), "left_semi")
-    stay = stay.dropDuplicates([id_col, "__text_key"]).select(*df.columns)
-    return stay.unionByName(df.filter(F.col(id_col).isNull()))
+    keyed = sieved(keyed, doubtful.withColumnsRenamed(named), id_col, "__text_key")
+    sure = F.col(id_col).isNull() | ~F.col("__maybe")
+    stay = keyed.filter(~sure).join(kept.withColumnsRenamed(named), [id_col, "__text_key"], "left_semi")
+    stay = stay.dropDuplicates([id_col, "__text_key"])
+    return keyed.filter(sure).unionByName(stay).select(*df.columns)

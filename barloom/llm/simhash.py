@@ -56,7 +56,11 @@ def hashes(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int) -> int:
     """Signed 64-bit fingerprint: a bit is 1 if set in over half the shingle hashes."""
-    h = hashes(text, width)
+    return majority(hashes(text, width))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of a text's shingle hashes."""
     if not len(h):
         return 0
     ones = np.zeros(64, dtype=np.int64)
