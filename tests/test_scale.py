@@ -63,6 +63,13 @@ def test_pairs_are_finished_in_the_tasks_of_their_tiles(spark, monkeypatch, text
     assert X.pair_correlation(df.limit(0), "r").count() == 0
 
 
+def test_pairs_are_read_from_tiles_and_never_broadcast(spark):
+    df = spark.range(600).select((F.col("id") % 6).cast("int").alias("ticker"), F.date_add(F.lit(datetime.date(2020, 1, 1)), (F.col("id") / 6).cast("int")).alias("date"), F.rand(2).alias("r"))
+    corr = X.pair_correlation(df, "r")
+    assert corr.count() == 15 and "Exchange" not in corr._jdf.queryExecution().executedPlan().toString()
+    assert int(str(corr._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > 1 << 40
+
+
 def test_silhouettes_leave_the_pairs_where_they_lie(spark):
     pairs = spark.range(400).select((F.col("id") % 20).cast("int").alias("a"), (F.col("id") / 20).cast("int").alias("b"), F.rand(1).alias("rho"))
     dist = X.pair_distance(pairs.filter("a < b"))
