@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bands as D
 from barloom.operators import models as Z
+from barloom.operators import perceptron as P
 from barloom.operators.quantile_fit import fit_quantiles
 
 
@@ -167,3 +168,29 @@ def test_balanced_logistic_equals_weighted_newton(spark):
         p = 1 / (1 + np.exp(-x @ w))
         w -= np.linalg.solve((x * (k * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (k * (p - y)) + penalty @ w)
     assert np.allclose([model.intercept, *model.coefficients], w, atol=1e-5)
+
+
+def test_perceptron_reaches_the_loss_of_sparks_optimizer_in_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(P, "FEW_ROWS", 10)
+    monkeypatch.setattr(P, "FILE_ROWS", 150)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 3))
+    y = (np.sin(2 * x[:, 0]) + x[:, 1] + 0.3 * rng.normal(size=700) > 0).astype(int)
+    rows = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
+    config = {"family": "mlp", "params": {"layers": [3, 6, 4, 2], "epochs": 40}}
+    model = Z.fit_model(config, "classification", rows, list("abc"), "y")
+    assert isinstance(Z.build_model(config, "classification", "y"), P.BlockPerceptron)
+    loss = lambda w: P.loss_and_gradient(w, [3, 6, 4, 2], x, y)[0] / 700
+    w = model.weights.toArray()
+    monkeypatch.setattr(P, "FEW_ROWS", 1 << 40)
+    plain = Z.fit_model(config, "classification", rows, list("abc"), "y").weights.toArray()
+    assert loss(w) < loss(plain) + 0.02 < 0.35
+    # The gradient is that of the loss, and the model scores by these weights.
+    step, k = 1e-6, 11
+    moved = w + step * (np.arange(len(w)) == k)
+    assert abs((loss(moved) - loss(w)) / step - P.loss_and_gradient(w, [3, 6, 4, 2], x, y)[1][k] / 700) < 1e-5
+    p = Z.probability(model.transform(Z.assembled(rows, list("abc")))).select("p", "y").toPandas()
+    assert abs(-np.log(np.where(p.y == 1, p.p, 1 - p.p)).mean() - loss(w)) < 1e-9
+    monkeypatch.setattr(P, "FEW_ROWS", 0)
+    with pytest.raises(Exception, match="missing or out of range"):
+        Z.fit_model(config, "classification", rows.withColumn("y", F.col("y") + 2), list("abc"), "y")
