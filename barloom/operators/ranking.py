@@ -1,6 +1,7 @@
-"""Exact ranks, quantiles and order statistics of groups of any size, one way for all.
+"""Exact ranks, quantiles and order statistics of groups of any size.
 
-A group is cut into ranges of values, as many as its rows ask for; only the sizes of
+Ranks of groups that a task can sort (a million rows) are windows on the rows.  Beyond that, and for quantiles, a group
+is cut into ranges of values, as many as its rows ask for; only the sizes of
 ranges are added up per group, and the sort runs per (group, range).  The cuts come from
 a sample of the group drawn by hash, so they lie where the values lie, however crowded, and
 a repeated evaluation finds the same ones.  A group holding a third of all rows is many tasks' work.
@@ -19,6 +20,8 @@ from barloom.session import materialize
 # Rows that one range is meant to hold; a group has at most RANGES of them.
 RANGE_VALUES = 16_384
 RANGES = 256
+# A group of so many ranges at most is ranked by one task.
+WHOLE_RANGES = 64
 # Sampled values of a group from which its cuts are taken.
 SAMPLED = 4096
 
@@ -129,6 +132,19 @@ def with_rank(
     return with_ranks(df, by, {out: x}, pct)
 
 
+def _ranked_whole(rows: DataFrame, by: list[str], columns: dict[str, str], pct: bool) -> DataFrame:
+    """``with_ranks`` of groups that a task can sort: rows move once, and no column makes rows of its own."""
+    whole = Window.partitionBy(*by) if by else Window.partitionBy()
+
+    def rank(x: Column) -> Column:
+        along = whole.orderBy(x.asc_nulls_last())
+        first, upto = F.rank().over(along), F.count(F.lit(1)).over(along)
+        place = first + (upto - first) / F.lit(2.0)
+        return F.when(x.isNotNull(), place / F.count(x).over(whole) if pct else place)
+
+    return rows.select("*", *[rank(F.col(x).cast("double")).alias(out) for out, x in columns.items()])
+
+
 def with_ranks(
     df: DataFrame,
     by: Sequence[str],
@@ -139,6 +155,9 @@ def with_ranks(
     by = list(by)
     # The input feeds the sizes, the ranges and the join back: compute it once, as a table.
     rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "ranked")
+    sizes = rows.groupBy(*by).count() if by else rows.agg(F.count(F.lit(1)).alias("count"))
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= WHOLE_RANGES * RANGE_VALUES:
+        return _ranked_whole(rows.drop("__row"), by, columns, pct)
     # All columns in one long pass: one ranking, one aggregate back to rows.
     cells = F.array(*[F.struct(F.lit(i).alias("__f"), F.col(x).cast("double").alias("__x")) for i, x in enumerate(columns.values())])
     long = rows.select("__row", *by, F.inline(cells)).filter("__x is not null")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import context as X
 from barloom.operators import models as Z
+from barloom.operators import ranking as R
 from barloom.plans import q_models, q_panels
 
 
@@ -78,3 +79,25 @@ def test_silhouettes_leave_the_pairs_where_they_lie(spark):
     names = X.silhouettes(dist, clusters.select(F.lit(0).alias("k"), "a", "cluster"))
     text = names._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in text and text.count("BroadcastHashJoin") == 2
+
+
+@pytest.mark.parametrize("pct", [True, False])
+def test_ranks_of_groups_that_a_task_can_sort_move_rows_once(spark, monkeypatch, pct):
+    rng = random.Random(8)
+    value = lambda: rng.choice([None, float("nan"), -0.0, 0.0, 1.5, rng.gauss(0, 1)])
+    rows = [(k, rng.choice([None, 1, 2, 3]), value(), value()) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, g int, x double, y double")
+    names = {"rx": "x", "ry": "y"}
+    for by in (["g"], []):
+        out = R.with_ranks(df, by, names, pct)
+        assert out.columns == [*df.columns, *names]
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange") == 1 and "Join" not in text
+        found = {r.id: (r.rx, r.ry) for r in out.collect()}
+        with monkeypatch.context() as m:
+            m.setattr(R, "RANGE_VALUES", 7)
+            m.setattr(R, "WHOLE_RANGES", 0)
+            expect = {r.id: (r.rx, r.ry) for r in R.with_ranks(df, by, names, pct).collect()}
+        assert found.keys() == expect.keys()
+        for k, pair in expect.items():
+            assert all(a is b is None or abs(a - b) < 1e-12 for a, b in zip(found[k], pair)), (k, found[k], pair)
